@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import is_finite, order_bucket, ratio0
-from .grouping import merge_single_rows
+from .grouping import GROUP_LIMIT, merge_single_rows, split_hot
 
 COUNTS = ("true_positives", "false_positives", "true_negatives", "false_negatives")
 
@@ -43,37 +43,46 @@ def binary_metrics(
     return counts.select(*by, *[c.alias(n) for n, c in rates.items()], *COUNTS)
 
 
-def roc_auc(df: DataFrame, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score") -> DataFrame:
+def roc_auc(
+    df: DataFrame, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score", limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Area under the ROC curve, ties counted half; 0 for a single class.
 
-    Rows collapse to counts per distinct score; pairs are counted inside
-    order-preserving score buckets, and one row per bucket carries the counts
-    of the buckets below.
+    Pairs are counted inside order-preserving score buckets, and one row per
+    bucket carries the counts of the buckets below. A bucket with very many
+    rows first collapses to counts per distinct score.
     """
-    by = list(by)
-    truth = F.col(label) == 1
-    scores = (
-        df.groupBy(*by, F.col(score).cast("double").alias("_s"))
-        .agg(F.count_if(truth).alias("_p"), F.count_if(~truth).alias("_q"))
-        .withColumn("_b", order_bucket("_s"))
+    by, part = list(by), ", ".join(f"`{b}`" for b in by)
+    rows = df.select(
+        *by,
+        F.col(score).cast("double").alias("_s"),
+        (F.col(label) == 1).cast("long").alias("_p"),
+        (F.col(label) != 1).cast("long").alias("_q"),
+        order_bucket(score).alias("_b"),
     )
-    inside = Window.partitionBy(*by, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    dbl = lambda c: F.col(c).cast("double")
+    small, large = split_hot(rows, [*by, "_b"], limit)
+    large = large.groupBy(*by, "_b", "_s").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    bucket = f"partition by {part}{', ' if by else ''}_b"
     buckets = (
-        scores.withColumn("_lower", F.coalesce(F.sum("_q").over(inside), F.lit(0)))
-        .groupBy(*by, "_b")
-        .agg(
-            F.sum("_p").alias("_p"),
-            F.sum("_q").alias("_q"),
-            F.sum(dbl("_p") * (dbl("_lower") + dbl("_q") / 2)).alias("_pairs"),
+        small.unionByName(large)
+        .selectExpr(
+            "*",
+            f"sum(_q) over ({bucket} order by _s range between unbounded preceding and current row) as _upto",
+            f"sum(_q) over ({bucket}, _s) as _same",
         )
+        .groupBy(*by, "_b")
+        .agg(*map(F.expr, ("sum(_p) as _p", "sum(_q) as _q", "sum(double(_p) * (_upto - double(_same) / 2)) as _pairs")))
     )
-    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    out = buckets.withColumn("_under", F.coalesce(F.sum("_q").over(below), F.lit(0)))
-    return out.groupBy(*by).agg(
-        ratio0(
-            F.sum(F.col("_pairs") + dbl("_p") * dbl("_under")), F.sum(dbl("_p")) * F.sum(dbl("_q"))
-        ).alias("roc_auc")
+    return (
+        buckets.selectExpr(
+            "*",
+            f"coalesce(sum(_q) over (partition by {part or '0'} order by _b "
+            "rows between unbounded preceding and 1 preceding), 0) as _below",
+        )
+        .groupBy(*by)
+        .agg(F.expr(
+            "coalesce(sum(_pairs + double(_p) * _below) / nullif(sum(double(_p)) * sum(double(_q)), 0D), 0D) as roc_auc"
+        ))
     )
 
 

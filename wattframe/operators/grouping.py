@@ -8,6 +8,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 32
 
+# A group of up to so many narrow rows is sorted by one task.
+GROUP_LIMIT = 4_000_000
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups up to ``limit`` rows, and those of larger groups.
+
+    Sizes come from a partial aggregation over the keys alone. At most
+    ``rows / limit`` groups are larger, so their keys are safe to broadcast;
+    where there are none, adaptive execution drops the second branch.
+    """
+    keys = list(keys)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    hot = F.broadcast(hot)
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+
 
 def join_per_key(detail: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left") -> DataFrame:
     """Join a big table with one that has few rows per key.

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from ..functions.columns import hours_between, ratio, ratio0
-from .grouping import merge_single_rows
+from ..functions.columns import hours_between, ratio
+from .grouping import GROUP_LIMIT, merge_single_rows
 from .quantiles import exact_medians, exact_quantiles
-from .series import BLOCK_DAYS, chained_run, collapsed, with_runs
+from .series import BLOCK_DAYS, collapsed, with_runs
 
 REPORT_COLUMNS = (
     "total_records", "time_span_hours", "time_span_days",
@@ -34,16 +32,16 @@ COUNTED_AGAINST = ("zero_ratio", "constant_ratio", "duplicate_ratio")
 HIGH, MEDIUM = 0.8, 0.6
 
 
-def _score() -> Column:
-    parts = [w * ((1 - F.col(c)) if c in COUNTED_AGAINST else F.col(c)) for c, w in WEIGHTS.items()]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
+def _score() -> str:
+    return " + ".join(f"{w}D * ({f'1 - {c}' if c in COUNTED_AGAINST else c})" for c, w in WEIGHTS.items())
+
+
+SUMS = ("n", "m", "zeros", "total", "spread", "gaps_2h", "gaps_24h", "times")
+BOUNDS = {"t_min": "min", "t_max": "max", "v_min": "min", "v_max": "max"}
 
 
 def _facts(
-    df: DataFrame, g: float, entity: str, ts: str, value: str, block_days: int, runs: bool, unique: bool
+    df: DataFrame, g: float, entity: str, ts: str, value: str, block_days: int, runs: bool, unique: bool, limit: int
 ) -> DataFrame:
     """One row per entity with everything the report's formulas need but the
     median: counts, bounds, gaps, distinct times, mean, spread, stuck readings.
@@ -51,104 +49,96 @@ def _facts(
     Readings are summarised per run, then per block (both on the partitioning
     of the block windows), then per entity over one or two rows per block.
     """
-    near, day = F.lit(dt.timedelta(hours=2 * g)), F.lit(dt.timedelta(hours=24))
-    limit = max(int(48 / g), 2)
+    e = f"`{entity}`"
+    near, day = f"interval '{2 * g * 3600:.6f}' second", "interval '24' hour"
+    longest = max(int(48 / g), 2)
 
-    def stuck(length: str) -> Column:
-        return F.greatest(F.col(length) - limit + 1, F.lit(0))
+    def stuck(length: str) -> str:
+        return f"greatest({length} - {longest} + 1, 0)"
 
-    cells = collapsed(df, entity, ts, value, block_days, unique)
+    cells = collapsed(df, entity, ts, value, block_days, unique, limit)
     cells = with_runs(cells, entity) if runs else cells.withColumn("_run", F.lit(1))
-    block = Window.partitionBy(entity, "_blk")
-    inside = block.orderBy("_t", "_v")
-    known = F.when(F.col("_v").isNotNull(), F.col("_c"))
-    step = F.col("_t") - F.lag("_t").over(inside)
-    cells = (
-        cells.withColumn("_step", step)
-        .withColumn("_known", known)
-        .withColumn("_bmean", F.sum(F.col("_known") * F.col("_v")).over(block) / F.nullif(F.sum("_known").over(block), F.lit(0)))
-    )
-
-    def totals(**extra) -> list[Column]:
-        return [c.alias(n) for n, c in extra.items()]
-
-    per_run = cells.groupBy(entity, "_blk", "_run").agg(
-        *totals(
-            n=F.sum("_c"),
-            m=F.coalesce(F.sum("_known"), F.lit(0)),
-            zeros=F.coalesce(F.sum(F.when(F.col("_v") == 0, F.col("_c"))), F.lit(0)),
-            total=F.sum(F.col("_known") * F.col("_v")),
-            spread=F.sum(F.col("_known") * (F.col("_v") - F.col("_bmean")) * (F.col("_v") - F.col("_bmean"))),
-            gaps_2h=F.count_if(F.col("_step") > near),
-            gaps_24h=F.count_if(F.col("_step") > day),
-            times=F.count_if(F.coalesce(F.col("_step") > F.lit(dt.timedelta(0)), F.lit(True))),
-            t_min=F.min("_t"),
-            t_max=F.max("_t"),
-            v_min=F.min("_v"),
-            v_max=F.max("_v"),
-        )
+    block = f"partition by {e}, _blk"
+    cells = cells.selectExpr(
+        "*",
+        "if(_v is not null, _c, null) as _known",
+        f"_t - lag(_t) over ({block} order by _t, _v) as _step",
+        f"sum(_c * _v) over ({block}) / nullif(sum(if(_v is not null, _c, 0)) over ({block}), 0) as _bmean",
     )
-    sums = ("n", "m", "zeros", "total", "spread", "gaps_2h", "gaps_24h", "times")
-    bounds = {"t_min": F.min, "t_max": F.max, "v_min": F.min, "v_max": F.max}
-    per_run = per_run.withColumn("_runs", F.max("_run").over(block))
-    first, last = F.col("_run") == 1, (F.col("_run") == F.col("_runs")) & (F.col("_run") > 1)
-    per_block = per_run.groupBy(entity, "_blk").agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[f(c).alias(c) for c, f in bounds.items()],
-        *totals(
-            inner=F.sum(F.when((F.col("_run") > 1) & ~last, stuck("m")).otherwise(F.lit(0))),
-            v_first=F.max(F.when(first, F.col("v_max"))),
-            l_first=F.max(F.when(first, F.col("m"))),
-            v_last=F.max(F.when(last, F.col("v_max"))),
-            l_last=F.max(F.when(last, F.col("m"))),
-        ),
+    per_run = cells.groupBy(entity, "_blk", "_run").agg(*map(F.expr, (
+        "sum(_c) as n",
+        "coalesce(sum(_known), 0) as m",
+        "coalesce(sum(if(_v = 0, _c, null)), 0) as zeros",
+        "sum(_known * _v) as total",
+        "sum(_known * (_v - _bmean) * (_v - _bmean)) as spread",
+        f"count_if(_step > {near}) as gaps_2h",
+        f"count_if(_step > {day}) as gaps_24h",
+        "count_if(_step is null or _step > interval '0' second) as times",
+        "min(_t) as t_min",
+        "max(_t) as t_max",
+        "min(_v) as v_min",
+        "max(_v) as v_max",
+    )))
+    later = "(_run = _runs and _run > 1)"
+    per_block = (
+        per_run.selectExpr("*", f"max(_run) over ({block}) as _runs")
+        .groupBy(entity, "_blk")
+        .agg(*map(F.expr, (
+            *[f"sum({c}) as {c}" for c in SUMS],
+            *[f"{f}({c}) as {c}" for c, f in BOUNDS.items()],
+            f"sum(if(_run > 1 and not {later}, {stuck('m')}, 0)) as inner_stuck",
+            "max(if(_run = 1, v_max, null)) as v_first",
+            "max(if(_run = 1, m, null)) as l_first",
+            f"max(if({later}, v_max, null)) as v_last",
+            f"max(if({later}, m, null)) as l_last",
+        )))
     )
 
     # Across blocks: gaps and runs that cross a block border, pooled spread.
-    series, all_blocks = Window.partitionBy(entity).orderBy("_blk"), Window.partitionBy(entity)
-    border = F.col("t_min") - F.lag("t_max").over(series)
-    mean = F.sum("total").over(all_blocks) / F.nullif(F.sum("m").over(all_blocks), F.lit(0))
-    off = F.col("total") / F.nullif(F.col("m"), F.lit(0)) - mean
-    per_block = (
-        per_block.withColumn("_border", border)
-        .withColumn("_off", off)
-        .withColumn("gaps_2h", F.col("gaps_2h") + F.coalesce((F.col("_border") > near).cast("long"), F.lit(0)))
-        .withColumn("gaps_24h", F.col("gaps_24h") + F.coalesce((F.col("_border") > day).cast("long"), F.lit(0)))
-        .withColumn("spread", F.col("spread") + F.col("m") * F.col("_off") * F.col("_off"))
+    series = f"partition by {e}"
+    per_block = per_block.selectExpr(
+        "*",
+        f"t_min - lag(t_max) over ({series} order by _blk) as _border",
+        f"total / nullif(m, 0) - sum(total) over ({series}) / nullif(sum(m) over ({series}), 0) as _off",
+    ).selectExpr(
+        e, "_blk", "inner_stuck", "v_first", "l_first", "v_last", "l_last",
+        *[c for c in SUMS if c not in ("gaps_2h", "gaps_24h", "spread")],
+        *BOUNDS,
+        f"gaps_2h + if(_border > {near}, 1, 0) as gaps_2h",
+        f"gaps_24h + if(_border > {day}, 1, 0) as gaps_24h",
+        "spread + m * _off * _off as spread",
     )
     if runs:
-        edge = lambda v, n, main: F.struct(
-            F.lit(not main).alias("later"), F.col(v).alias("v"), F.col(n).alias("len"), F.lit(main).alias("main")
-        )
-        edges = F.filter(
-            F.array(edge("v_first", "l_first", True), edge("v_last", "l_last", False)),
-            lambda e: e["main"] | e["v"].isNotNull(),
-        )
-        order = ("_blk", "_later")
-        w = Window.partitionBy(entity).orderBy(*order)
-        rows = (
-            per_block.withColumn("_e", F.explode(edges))
-            .withColumn("_later", F.col("_e.later"))
-            .withColumn("_ev", F.col("_e.v"))
-            .withColumn("_len", F.coalesce(F.col("_e.len"), F.lit(0)))
-            .withColumn("_new", chained_run(entity, "_ev", F.col("_later"), order).cast("int"))
-            .withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        # One row per block for its first run and all its sums, and one for a
+        # separate last run; equal values of neighbouring edges make one run.
+        order = f"{series} order by _blk, later rows between unbounded preceding and"
+        edges = (
+            per_block.selectExpr(
+                "*",
+                "explode(filter(array(named_struct('later', false, 'v', v_first, 'len', l_first), "
+                "named_struct('later', true, 'v', v_last, 'len', l_last)), x -> not x.later or x.v is not null)) as _e",
+            )
+            .selectExpr("*", "_e.later as later", "_e.v as _ev", "coalesce(_e.len, 0) as _len")
+            .selectExpr("*", f"last(_ev, true) over ({order} 1 preceding) as _pv")
+            .selectExpr(
+                "*",
+                f"sum(if(_ev is not null and (later or not (_ev <=> _pv)), 1, 0)) over ({order} current row) as _chain",
+            )
         )
-        main = lambda c: F.when(~F.col("_later"), F.col(c))
-        per_block = rows.groupBy(entity, "_chain").agg(
-            *[F.sum(main(c)).alias(c) for c in sums],
-            *[f(main(c)).alias(c) for c, f in bounds.items()],
-            F.sum(main("inner")).alias("inner"),
-            F.sum("_len").alias("_len"),
-        )
-        stuck_total = F.sum(F.coalesce(F.col("inner"), F.lit(0)) + stuck("_len"))
+        per_block = edges.groupBy(entity, "_chain").agg(*map(F.expr, (
+            *[f"sum(if(later, null, {c})) as {c}" for c in SUMS],
+            *[f"{f}(if(later, null, {c})) as {c}" for c, f in BOUNDS.items()],
+            "sum(if(later, 0, inner_stuck)) as inner_stuck",
+            "sum(_len) as _len",
+        )))
+        total_stuck = f"sum(inner_stuck + {stuck('_len')})"
     else:
-        stuck_total = F.lit(0).cast("long")
-    return per_block.groupBy(entity).agg(
-        *[F.sum(c).alias(c) for c in sums],
-        *[f(c).alias(c) for c, f in bounds.items()],
-        stuck_total.alias("stuck"),
-    )
+        total_stuck = "cast(0 as bigint)"
+    return per_block.groupBy(entity).agg(*map(F.expr, (
+        *[f"sum({c}) as {c}" for c in SUMS],
+        *[f"{f}({c}) as {c}" for c, f in BOUNDS.items()],
+        f"{total_stuck} as stuck",
+    )))
 
 
 def quality_report(
@@ -160,6 +150,7 @@ def quality_report(
     value: str = "value",
     block_days: int = BLOCK_DAYS,
     unique: bool = False,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Quality of each entity's series: the entity and ``REPORT_COLUMNS``.
 
@@ -171,48 +162,47 @@ def quality_report(
     if variant not in ("exact", "fast"):
         raise ValueError(f"unknown variant {variant!r}")
     exact, g = variant == "exact", granularity_hours
-    facts = _facts(df, g, entity, ts, value, block_days, exact, unique)
-    medians = exact_quantiles(df, value, {"median_value": 0.5}, [entity])
-    f = facts.join(medians, entity, "left")
-
-    n, m, empty = F.col("n"), F.col("m"), F.col("m") == 0
-    several = n > 1
-    hours = F.when(several, hours_between("t_min", "t_max")).otherwise(F.lit(0.0))
-    f = f.withColumn("time_span_hours", hours).withColumn("_mean", ratio("total", "m"))
-    f = f.withColumn("_std", F.when(m > 1, F.sqrt(ratio(F.col("spread"), m - 1))))
+    facts = _facts(df, g, entity, ts, value, block_days, exact, unique, limit)
+    medians = exact_quantiles(df, value, {"median": 0.5}, [entity], limit)
+    f = facts.join(medians, entity, "left").withColumns({
+        "hours": F.when(F.col("n") > 1, hours_between("t_min", "t_max")).otherwise(F.lit(0.0)),
+        "mean": F.expr("total / nullif(m, 0)"),
+        "std": F.expr("if(m > 1, sqrt(spread / nullif(m - 1, 0)), null)"),
+    })
     if exact:
-        expected = F.floor(F.col("time_span_hours") / g) + 1
-        coverage = F.when(several, F.least(F.lit(1.0), ratio(n, expected))).otherwise(F.lit(0.0))
-        zero = F.when(empty, 1.0).otherwise(ratio("zeros", "m"))
-        constant = F.when(empty, 1.0).otherwise(ratio("stuck", "m"))
-        cv = F.when(F.col("_mean") > 0, ratio("_std", "_mean")).otherwise(F.lit(0.0))
-        stat = lambda c: F.when(empty, 0.0).otherwise(F.col(c))
+        shown = "if(m = 0, 0D, {})"
+        special = {
+            "coverage_ratio": f"if(n > 1, least(1D, n / (floor(hours / {g}) + 1)), 0D)",
+            "zero_ratio": "if(m = 0, 1D, zeros / nullif(m, 0))",
+            "constant_ratio": "if(m = 0, 1D, stuck / nullif(m, 0))",
+            "coefficient_of_variation": "if(mean > 0, std / nullif(mean, 0), 0D)",
+        }
     else:
-        expected = F.floor(F.floor("time_span_hours") / g) + 1
-        coverage = F.least(F.lit(1.0), ratio(n, expected))
-        zero = ratio("zeros", "n")
-        constant = zero * 0.1
-        cv = F.when(
-            (F.col("_mean") == 0) & (F.col("_std") > 0), F.lit(float("inf"))
-        ).otherwise(F.coalesce(ratio("_std", "_mean"), F.lit(0.0)))
-        stat = F.col
-    f = (
-        f.withColumn("total_records", n)
-        .withColumn("time_span_days", F.col("time_span_hours") / 24)
-        .withColumn("completeness_ratio", ratio("m", "n"))
-        .withColumn("coverage_ratio", coverage)
-        .withColumn("continuity_ratio", F.when(several, 1 - ratio(F.col("gaps_2h"), n - 1)).otherwise(F.lit(0.0)))
-        .withColumn("zero_ratio", zero)
-        .withColumn("constant_ratio", constant)
-        .withColumn("duplicate_ratio", ratio(n - F.col("times"), n))
-        .withColumn("mean_value", stat("_mean"))
-        .withColumn("std_value", stat("_std"))
-        .withColumn("median_value", stat("median_value"))
-        .withColumn("min_value", stat("v_min"))
-        .withColumn("max_value", stat("v_max"))
-        .withColumn("coefficient_of_variation", cv)
+        shown = "{}"
+        special = {
+            "coverage_ratio": f"least(1D, n / (floor(floor(hours) / {g}) + 1))",
+            "zero_ratio": "zeros / n",
+            "constant_ratio": "zeros / n * 0.1D",
+            "coefficient_of_variation": "if(mean = 0 and std > 0, double('Infinity'), coalesce(std / nullif(mean, 0), 0D))",
+        }
+    columns = {
+        "total_records": "n",
+        "time_span_hours": "hours",
+        "time_span_days": "hours / 24",
+        "completeness_ratio": "m / n",
+        "continuity_ratio": "if(n > 1, 1 - gaps_2h / nullif(n - 1, 0), 0D)",
+        "gaps_2h": "gaps_2h",
+        "gaps_24h": "gaps_24h",
+        "duplicate_ratio": "(n - times) / n",
+        **{f"{s}_value": shown.format(c) for s, c in (
+            ("mean", "mean"), ("std", "std"), ("median", "median"), ("min", "v_min"), ("max", "v_max"),
+        )},
+        **special,
+    }
+    report = f.selectExpr(f"`{entity}`", *[f"{x} as {name}" for name, x in columns.items()])
+    return report.selectExpr(
+        f"`{entity}`", *[c for c in REPORT_COLUMNS if c != "quality_score"], f"{_score()} as quality_score"
     )
-    return f.withColumn("quality_score", _score()).select(entity, *REPORT_COLUMNS)
 
 
 def quality_summary(report: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Exact quantiles that never gather one group's values in one place.
+"""Exact quantiles that never gather an unbounded group in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one
-buffer. Here values are counted per coarse order-preserving bucket first; only
-the buckets that hold a wanted rank are then looked at value by value.
+Groups of bounded size are sorted once. In a larger group values are counted
+per coarse order-preserving bucket first, and only the buckets that hold a
+wanted rank are looked at value by value.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import as_col, order_bucket, reading
+from ..functions.columns import order_bucket, reading
+from .grouping import GROUP_LIMIT, split_hot
 
 
 def exact_quantiles(
@@ -19,77 +20,84 @@ def exact_quantiles(
     value: str | Column,
     probs: Mapping[str, float],
     by: Sequence[str] = (),
-    weight: str | Column | None = None,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (linear
     interpolation between neighbours). NULL and NaN values do not count, and a
-    group without any other value has no row. ``weight`` counts a row several
-    times (a whole number)."""
+    group without any other value has no row."""
     by = list(by)
-    w = F.lit(1) if weight is None else as_col(weight)
-    cells = (
-        df.select(*by, reading(value).alias("_v"), w.cast("long").alias("_w"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.sum("_w").alias("_c"))
-        .withColumn("_b", order_bucket("_v"))
+    rows = df.select(*by, reading(value).alias("_v")).filter("_v is not null")
+    if not by:
+        return _bucketed_groups(rows, probs, by)
+    small, large = split_hot(rows, by, limit)
+    return _sorted_groups(small, probs, by).unionByName(_bucketed_groups(large, probs, by))
+
+
+def _sorted_groups(rows: DataFrame, probs: Mapping[str, float], by: list[str]) -> DataFrame:
+    part = ", ".join(f"`{b}`" for b in by)
+    ranked = rows.selectExpr(
+        "*",
+        f"row_number() over (partition by {part} order by _v) - 1 as _r",
+        f"count(*) over (partition by {part}) as _n",
     )
+    parts = []
+    for name, p in probs.items():
+        h = f"({float(p)!r}D * (_n - 1))"
+        parts.append(
+            f"sum(case when _r = floor({h}) then _v * (1 - ({h} - floor({h}))) "
+            f"when _r = floor({h}) + 1 and {h} > floor({h}) then _v * ({h} - floor({h})) end) as `{name}`"
+        )
+    return ranked.groupBy(*by).agg(*[F.expr(x) for x in parts])
+
 
-    # Ranks wanted, per bucket: the table has one row per (group, bucket).
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+def _bucketed_groups(rows: DataFrame, probs: Mapping[str, float], by: list[str]) -> DataFrame:
+    part = ", ".join(f"`{b}`" for b in by) or "0"
+    cells = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", order_bucket("_v"))
+
+    # Wanted ranks per bucket: one row per (group, bucket).
     picks = []
     for name, p in probs.items():
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        lo, frac = F.floor(h), h - F.floor(h)
-        picks.append(F.struct(F.lit(name).alias("name"), lo.alias("rank"), (1 - frac).alias("share")))
-        picks.append(F.struct(F.lit(name).alias("name"), (lo + 1).alias("rank"), frac.alias("share")))
+        h = f"({float(p)!r}D * (_n - 1))"
+        for up, share in ((0, f"1 - ({h} - floor({h}))"), (1, f"{h} - floor({h})")):
+            picks.append(f"named_struct('name', '{name}', 'rank', floor({h}) + {up}, 'share', {share})")
     targets = (
         cells.groupBy(*by, "_b")
         .agg(F.sum("_c").alias("_bc"))
-        .withColumn("_below", F.coalesce(F.sum("_bc").over(upto), F.lit(0)))
-        .withColumn("_n", F.sum("_bc").over(whole))
-        .withColumn("_picks", F.array(*picks))
-        .withColumn(
-            "_picks",
-            F.filter(
-                "_picks",
-                lambda r: (r["share"] > 0)
-                & (r["rank"] >= F.col("_below"))
-                & (r["rank"] < F.col("_below") + F.col("_bc")),
-            ),
+        .selectExpr(
+            "*",
+            f"coalesce(sum(_bc) over (partition by {part} order by _b rows between unbounded preceding and 1 preceding), 0) as _below",
+            f"sum(_bc) over (partition by {part}) as _n",
+        )
+        .selectExpr(
+            *[f"`{b}`" for b in by],
+            "_b",
+            "_below",
+            f"filter(array({', '.join(picks)}), r -> r.share > 0 and r.rank >= _below and r.rank < _below + _bc) as _picks",
         )
-        .filter(F.size("_picks") > 0)
-        .select(*by, "_b", "_below", "_picks")
+        .filter("size(_picks) > 0")
     )
-
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = (
         cells.join(targets, [*by, "_b"])
         .withColumn("_end", F.col("_below") + F.sum("_c").over(inside))
-        .select(
-            *by,
+        .selectExpr(
+            *[f"`{b}`" for b in by],
             "_v",
-            F.explode(
-                F.filter("_picks", lambda r: (r["rank"] < F.col("_end")) & (r["rank"] >= F.col("_end") - F.col("_c")))
-            ).alias("_p"),
+            "explode(filter(_picks, r -> r.rank < _end and r.rank >= _end - _c)) as _p",
         )
     )
-    parts = [
-        F.sum(F.when(F.col("_p.name") == name, F.col("_v") * F.col("_p.share"))).alias(name) for name in probs
-    ]
-    return hits.groupBy(*by).agg(*parts)
+    return hits.groupBy(*by).agg(
+        *[F.expr(f"sum(case when _p.name = '{name}' then _v * _p.share end) as `{name}`") for name in probs]
+    )
 
 
 def exact_medians(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Medians of several columns of one table: ``columns`` maps output name to
     column. The columns are stacked, so it is still one pass of the above."""
     by = list(by)
-    stacked = df.select(
-        *by,
-        F.explode(
-            F.array(*[F.struct(F.lit(n).alias("name"), reading(c).alias("v")) for n, c in columns.items()])
-        ).alias("_s"),
-    ).select(*by, F.col("_s.name").alias("_name"), F.col("_s.v").alias("_x"))
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), reading(c).alias("v")) for n, c in columns.items()])
+    stacked = df.select(*by, F.explode(cells).alias("_s")).select(
+        *by, F.col("_s.name").alias("_name"), F.col("_s.v").alias("_x")
+    )
     med = exact_quantiles(stacked, "_x", {"_med": 0.5}, [*by, "_name"])
     return med.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_med"))).alias(n) for n in columns])

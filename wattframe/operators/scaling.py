@@ -78,29 +78,28 @@ def fit_scaler_sampled(
     )
 
 
-def apply_scaler(seqs: DataFrame, scaler: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """``x`` of every sequence as (x - mean) / scale; ``y`` stays as it is.
-
-    The scaler has one row per feature; it enters the plan as a scalar
-    subquery, so nothing is collected and nothing is joined.
-    """
+def _params(scaler: DataFrame, features: Sequence[str]) -> Column:
+    """The scaler as an array of (mean, scale) in feature order. It has one row
+    per feature, so it enters a plan as a scalar subquery: nothing is collected
+    on the driver and nothing is joined."""
     by_name = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale"))))
-    params = (
+    return (
         scaler.filter(F.col("feature").isin(list(features)))
         .agg(by_name.alias("m"))
         .select(F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.col("m")[f]))
         .scalar()
     )
-    scaled = F.transform(
-        "x",
-        lambda row: F.zip_with(
-            row, "_scaler", lambda v, s: ((v.cast("double") - s["mean"]) / s["scale"]).cast("float")
-        ),
+
+
+def apply_scaler(seqs: DataFrame, scaler: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """``x`` of every sequence as (x - mean) / scale; ``y`` stays as it is."""
+    scaled = F.expr(
+        "transform(x, r -> zip_with(r, _scaler, (v, s) -> cast((cast(v as double) - s.mean) / s.scale as float)))"
     )
-    return seqs.withColumn("_scaler", params).withColumn("x", scaled).drop("_scaler")
+    return seqs.withColumn("_scaler", _params(scaler, features)).withColumn("x", scaled).drop("_scaler")
 
 
 def scale_columns(df: DataFrame, scaler: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """The same scaling on a table of rows."""
-    at = lambda f, c: scaler.filter(F.col("feature") == f).select(c).scalar()
-    return df.withColumns({f: (F.col(f).cast("double") - at(f, "mean")) / at(f, "scale") for f in features})
+    scaled = {f: F.expr(f"(cast(`{f}` as double) - _scaler[{i}].mean) / _scaler[{i}].scale") for i, f in enumerate(features)}
+    return df.withColumn("_scaler", _params(scaler, features)).withColumns(scaled).drop("_scaler")

@@ -13,8 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import day_block, duration, is_finite, reading
-from .grouping import join_per_key
+from ..functions.columns import day_block, duration, is_finite
+from .grouping import GROUP_LIMIT, join_per_key, split_hot
 
 BLOCK_DAYS = 32
 
@@ -57,29 +57,29 @@ def row_index(
     )
 
 
-def time_gaps(df: DataFrame, entity: str = "entity", ts: str = "ts", block_days: int = BLOCK_DAYS) -> DataFrame:
+def time_gaps(
+    df: DataFrame, entity: str = "entity", ts: str = "ts", block_days: int = BLOCK_DAYS, limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Difference of each reading's time to the one before it.
 
     One row per distinct (entity, time) with ``readings``, the number of rows
     at that time: the first of them has this ``gap``, any further one has a
     gap of zero. ``gap`` is an interval, NULL for the first time of a series.
     """
-    stamps = (
-        df.filter(F.col(ts).isNotNull())
-        .withColumn("_blk", day_block(ts, block_days))
-        .groupBy(entity, "_blk", ts)
-        .agg(F.count(F.lit(1)).alias("readings"))
-    )
-    series = Window.partitionBy(entity).orderBy("_blk")
+    rows = df.filter(F.col(ts).isNotNull()).select(entity, ts, day_block(ts, block_days).alias("_blk"))
+    block, series = [entity, "_blk"], Window.partitionBy(entity).orderBy("_blk")
     carry = (
-        df.filter(F.col(ts).isNotNull())
-        .groupBy(entity, day_block(ts, block_days).alias("_blk"))
-        .agg(F.max(ts).alias("_last"))
-        .select(entity, "_blk", F.lag("_last").over(series).alias("_carry"))
+        rows.groupBy(*block).agg(F.max(ts).alias("_last")).select(*block, F.lag("_last").over(series).alias("_carry"))
     )
-    inside = Window.partitionBy(entity, "_blk").orderBy(ts)
+    small, large = split_hot(rows, block, limit)
+    counted = small.withColumn("_c", F.lit(1).cast("long")).unionByName(
+        large.groupBy(*block, ts).agg(F.count(F.lit(1)).alias("_c"))
+    )
+    inside = Window.partitionBy(*block).orderBy(ts)
     return (
-        stamps.join(carry, [entity, "_blk"])
+        counted.join(carry, block)
+        .groupBy(*block, ts, "_carry")
+        .agg(F.sum("_c").alias("readings"))
         .withColumn("prev_ts", F.coalesce(F.lag(ts).over(inside), F.col("_carry")))
         .withColumn("gap", F.col(ts) - F.col("prev_ts"))
         .select(entity, ts, "readings", "prev_ts", "gap")
@@ -114,29 +114,38 @@ def collapsed(
     value: str,
     block_days: int = BLOCK_DAYS,
     unique: bool = False,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """Distinct (entity, block, ts, value) with a row count ``_c``.
+    """Readings as (entity, ``_blk``, ``_t``, ``_v``, ``_c``) with ``_c`` rows each.
 
-    Copies collapse before the shuffle. Where the caller knows that readings
-    are unique already (after ``dedup``), ``unique=True`` skips the grouping.
+    In blocks of more than ``limit`` rows equal readings collapse into one row
+    before they meet; other blocks need no grouping and no shuffle here. Where
+    the caller knows that readings are unique (after ``dedup``),
+    ``unique=True`` leaves out the look at block sizes.
     """
-    base = df.select(
-        F.col(entity), F.col(ts).alias("_t"), reading(value).alias("_v"), day_block(ts, block_days).alias("_blk")
+    base = df.selectExpr(
+        f"`{entity}`",
+        f"cast(floor(datediff(cast(`{ts}` as date), date'1970-01-01') / {int(block_days)}) as int) as _blk",
+        f"`{ts}` as _t",
+        f"nanvl(cast(`{value}` as double), cast(null as double)) as _v",
     )
     if unique:
         return base.withColumn("_c", F.lit(1).cast("long"))
-    return base.groupBy(entity, "_blk", "_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    small, large = split_hot(base, [entity, "_blk"], limit)
+    return small.withColumn("_c", F.lit(1).cast("long")).unionByName(
+        large.groupBy(entity, "_blk", "_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    )
 
 
 def with_runs(cells: DataFrame, entity: str) -> DataFrame:
     """Number the runs of equal non-missing values inside each block (``_run``
     counts from 1; rows before the first value have 0). Ties in time are taken
     in value order."""
-    w = Window.partitionBy(entity, "_blk").orderBy("_t", "_v")
-    prev = F.last("_v", ignorenulls=True).over(_prior(w))
-    starts = F.col("_v").isNotNull() & ~prev.eqNullSafe(F.col("_v"))
-    return cells.withColumn("_start", starts.cast("int")).withColumn(
-        "_run", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w = f"partition by `{entity}`, _blk order by _t, _v rows between unbounded preceding and"
+    return (
+        cells.selectExpr("*", f"last(_v, true) over ({w} 1 preceding) as _pv")
+        .selectExpr("*", f"sum(if(_v is not null and not (_v <=> _pv), 1, 0)) over ({w} current row) as _run")
+        .drop("_pv")
     )
 
 
@@ -157,11 +166,12 @@ def constant_runs(
     value: str = "value",
     block_days: int = BLOCK_DAYS,
     unique: bool = False,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Runs of at least ``min_length`` equal consecutive non-missing values:
     entity, value, run_start, run_end, run_length. Missing values in between do
     not end a run."""
-    cells = with_runs(collapsed(df, entity, ts, value, block_days, unique), entity)
+    cells = with_runs(collapsed(df, entity, ts, value, block_days, unique, limit), entity)
     runs = (
         cells.filter(F.col("_v").isNotNull())
         .groupBy(entity, "_blk", "_run")
@@ -277,6 +287,7 @@ def sliding_sequences(
     features: Sequence[str] = FEATURES,
     tiebreak: Sequence[str] = (),
     contiguous_step: str | None = None,
+    keep: Sequence[str] = (),
     block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
     """Training windows: ``lookback`` rows of ``features`` as ``x`` and the
@@ -286,7 +297,8 @@ def sliding_sequences(
     the chunk before, so a window lies whole inside the chunk it starts in. A
     chunk holds at most ``2 (lookback + horizon) + stride`` rows, whatever the
     length of the series. Windows are positional; ``contiguous_step`` (for
-    example ``'3H'``) keeps only those without a gap in time.
+    example ``'3H'``) keeps only those without a gap in time. ``keep`` lists
+    columns that are the same in all rows of an entity and stay in the result.
     """
     span = lookback + horizon
     size = stride * -(-span // stride)
@@ -298,6 +310,7 @@ def sliding_sequences(
         F.col(ts).alias("ts"),
         F.array(*[F.col(value if f == "value" else f).cast("float") for f in features]).alias("x"),
         F.col(value).cast("float").alias("y"),
+        *[F.col(c) for c in keep],
     )
     chunks = (
         pos.select(
@@ -318,11 +331,12 @@ def sliding_sequences(
     )
     out = starts.select(
         entity,
+        *[F.col("_win")[0][c].alias(c) for c in keep],
         F.col("_win")[0]["idx"].alias("start_idx"),
         F.col("_win")[0]["ts"].alias("start_ts"),
         F.col("_win")[span - 1]["ts"].alias("end_ts"),
-        F.transform(F.slice("_win", 1, lookback), lambda r: r["x"]).alias("x"),
-        F.transform(F.slice("_win", lookback + 1, horizon), lambda r: r["y"]).alias("y"),
+        F.expr(f"transform(slice(_win, 1, {int(lookback)}), r -> r.x) as x"),
+        F.expr(f"transform(slice(_win, {int(lookback)} + 1, {int(horizon)}), r -> r.y) as y"),
     )
     if contiguous_step:
         n, unit = duration(contiguous_step).split()

@@ -161,7 +161,6 @@ def training_tables(
     entities outside the split go before any window is built."""
     named = join_per_key(df, split, [entity], [ts], "inner")
     seqs = sliding_sequences(
-        named.drop("split"), lookback, horizon, stride, entity, ts, value, features, tiebreak
+        named, lookback, horizon, stride, entity, ts, value, features, tiebreak, keep=["split"]
     )
-    seqs = apply_scaler(drop_nonfinite_sequences(seqs), scaler, features)
-    return join_per_key(seqs, split, [entity], ["start_idx"], "inner")
+    return apply_scaler(drop_nonfinite_sequences(seqs), scaler, features)
