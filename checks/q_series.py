@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattframe.operators import scaling, series, split
+from wattframe.operators.resample import resample_mean
 from wattframe.operators.reshape import add_time_features
 from wattframe.plans.forecast import training_tables
 
@@ -75,19 +76,16 @@ def w5_index(spark, d):
     return seqs.select("entity", "start_idx", "start_ts", "end_ts")
 
 
-CONTIGUOUS = "interval '15 days'"
-
-
 @query(
-    "W5_contiguous_daily",
-    "select s.entity, s.idx start_idx, s.ts start_ts, e.ts end_ts from dayrows s join dayrows e on e.entity = s.entity "
-    f"and e.idx = s.idx + {L + H - 1} where s.idx % {STRIDE} = 0 and e.ts - s.ts = {CONTIGUOUS}",
-    "days as (select distinct entity, ts from daily)",
-    "dayrows as (select *, row_number() over (partition by entity order by ts) - 1 idx from days)",
+    "W5_contiguous_hourly",
+    "select s.entity, s.idx start_idx, s.ts start_ts, e.ts end_ts from hours s join hours e on e.entity = s.entity "
+    f"and e.idx = s.idx + {L + H - 1} where s.idx % {STRIDE} = 0 and e.ts - s.ts = interval '{L + H - 1} hours'",
+    "hours as (select *, row_number() over (partition by entity order by ts) - 1 idx from "
+    "(select distinct entity, date_trunc('hour', ts) ts from by_type))",
 )
 def w5_contiguous(spark, d):
-    days = fixture(spark, d, "daily").groupBy("entity", "ts").agg(F.sum("value").alias("value"))
-    seqs = series.sliding_sequences(add_time_features(days), L, H, STRIDE, contiguous_step="1D")
+    hours = add_time_features(resample_mean(fixture(spark, d, "by_type"), "1H"))
+    seqs = series.sliding_sequences(hours, L, H, STRIDE, contiguous_step="1H")
     return seqs.select("entity", "start_idx", "start_ts", "end_ts")
 
 

@@ -111,7 +111,7 @@ def read_readings(
         df = filter_meter(df, kind, meter)
     t = F.col(when)
     if isinstance(df.schema[when].dataType, T.LongType):
-        micros = F.expr(f"make_dt_interval(0, 0, 0, 0) + make_dt_interval(0, 0, 0, CAST(`{when}` DIV 1000 AS DECIMAL(20, 0)) / 1000000)")
+        micros = F.expr(f"make_dt_interval(0, 0, 0, CAST(`{when}` DIV 1000 AS DECIMAL(18, 0)) / 1000000)")
         t = F.lit("1970-01-01").cast("timestamp_ntz") + micros
     out = df.select(
         t.alias("ts"),
