@@ -15,7 +15,7 @@ COUNTS = ("true_positives", "false_positives", "true_negatives", "false_negative
 GRID = 100
 
 
-def _rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
+def rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
     return {
         "accuracy": ratio0(tp + tn, tp + fp + tn + fn),
         "precision": ratio0(tp, tp + fp),
@@ -25,6 +25,19 @@ def _rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
     }
 
 
+def confusion_counts(threshold: float, label: str, score: str) -> list[Column]:
+    """The four counts as aggregates; rows without label or score do not count."""
+    truth, hit = F.col(label) == 1, F.col(score) >= threshold
+    cells = (truth & hit, ~truth & hit, ~truth & ~hit, truth & ~hit)
+    return [F.count_if(c).alias(n) for c, n in zip(cells, COUNTS)]
+
+
+def finite_pair(label: str, score: str) -> tuple[Column, Column]:
+    """Label and score, both NULL unless both are finite."""
+    ok = is_finite(label) & is_finite(score)
+    return F.when(ok, F.col(label)), F.when(ok, F.col(score).cast("double"))
+
+
 RATES = ("accuracy", "precision", "recall", "f1_score", "specificity")
 
 
@@ -32,15 +45,8 @@ def binary_metrics(
     df: DataFrame, threshold: float = 0.5, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score"
 ) -> DataFrame:
     """Confusion counts and rates at one threshold (0 on zero division)."""
-    truth, hit = F.col(label) == 1, F.col(score) >= threshold
-    counts = df.groupBy(*by).agg(
-        F.count_if(truth & hit).alias(COUNTS[0]),
-        F.count_if(~truth & hit).alias(COUNTS[1]),
-        F.count_if(~truth & ~hit).alias(COUNTS[2]),
-        F.count_if(truth & ~hit).alias(COUNTS[3]),
-    )
-    rates = _rates(*[F.col(c) for c in COUNTS])
-    return counts.select(*by, *[c.alias(n) for n, c in rates.items()], *COUNTS)
+    counts = df.groupBy(*by).agg(*confusion_counts(threshold, label, score))
+    return counts.select(*by, *[c.alias(n) for n, c in rates(*[F.col(c) for c in COUNTS]).items()], *COUNTS)
 
 
 def roc_auc(
@@ -125,9 +131,8 @@ def threshold_curve(df: DataFrame, by: Sequence[str] = (), label: str = "y_label
         (F.sum("_q").over(grp) - fp).alias(COUNTS[2]),
         (F.sum("_p").over(grp) - tp).alias(COUNTS[3]),
     ).filter("i >= 0")
-    rates = _rates(*[F.col(c) for c in COUNTS])
     return counted.select(
-        *by, "i", (F.col("i") * F.lit(step)).alias("threshold"), *COUNTS, *[c.alias(n) for n, c in rates.items()]
+        *by, "i", (F.col("i") * F.lit(step)).alias("threshold"), *COUNTS, *[c.alias(n) for n, c in rates(*[F.col(c) for c in COUNTS]).items()]
     )
 
 
@@ -164,18 +169,12 @@ def anomaly_metrics(
     ``find_optimal`` adds the threshold of the best F1 (NULL in that case).
     """
     by = list(by)
-    ok = is_finite(label) & is_finite(score)
-    rows = df.select(
-        *by, F.when(ok, F.col(label)).alias("_y"), F.when(ok, F.col(score).cast("double")).alias("_s")
-    )
-    clean = rows.filter("_y is not null and _s is not null")
-    parts = [
-        rows.groupBy(*by).agg(F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg")),
-        binary_metrics(clean, threshold, by, "_y", "_s"),
-        roc_auc(clean, by, "_y", "_s"),
-    ]
+    y, p = finite_pair(label, score)
+    clean = df.select(*by, y.alias("_y"), p.alias("_s"))
+    known = clean.filter("_y is not null")
+    parts = [binary_metrics(clean, threshold, by, "_y", "_s"), roc_auc(known, by, "_y", "_s")]
     if find_optimal:
-        best = optimal_threshold(clean, "f1", by, "_y", "_s")
+        best = optimal_threshold(known, "f1", by, "_y", "_s")
         parts.append(best.withColumnRenamed("best_value", "optimal_f1"))
     if by:
         out = parts[0]
@@ -183,7 +182,7 @@ def anomaly_metrics(
             out = out.join(part, by, "left")
     else:
         out = merge_single_rows(*parts)
-    both = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    both = both_classes()
     extra = ["optimal_threshold", "optimal_f1"] if find_optimal else []
     return out.select(
         *by,
@@ -191,3 +190,9 @@ def anomaly_metrics(
         *[F.when(both, F.col(c)).alias(c) for c in (*COUNTS, *extra)],
         F.lit(float(threshold)).alias("threshold"),
     )
+
+
+def both_classes() -> Column:
+    """True where the confusion counts hold a row of either class."""
+    tp, fp, tn, fn = [F.col(c) for c in COUNTS]
+    return (tp + fn > 0) & (fp + tn > 0)

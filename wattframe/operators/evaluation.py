@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import errors as E
 from ..functions.columns import ratio
-from .classification import anomaly_metrics
-from .forecast_metrics import forecast_metrics
+from .classification import (
+    COUNTS, anomaly_metrics, both_classes, confusion_counts, finite_pair, rates, roc_auc,
+)
+from .forecast_metrics import error_columns, forecast_metrics
 from .grouping import merge_single_rows
 from .quantiles import exact_medians, exact_quantiles
 from .reshape import add_error_ratios
@@ -67,13 +69,21 @@ def evaluate_by_entity(
     """Per entity: number of sequences (distinct ``sequence``, or rows), rmse,
     mae, mape, r2, and F1, precision, recall, AUC where labels are given."""
     n = F.count_distinct(F.col(sequence)) if sequence else F.count(F.lit(1))
-    out = df.groupBy(entity).agg(n.alias("n_sequences")).join(
-        forecast_metrics(df, [entity], y_true, y_pred, FORECAST), entity
+    aggs = [n.alias("n_sequences"), *error_columns(FORECAST, y_true, y_pred)]
+    if not (label and score):
+        return df.groupBy(entity).agg(*aggs)
+    # Errors and confusion counts share one pass; only the AUC needs an order.
+    y, p = finite_pair(label, score)
+    rows = df.withColumns({"_y": y, "_s": p})
+    out = rows.groupBy(entity).agg(*aggs, *confusion_counts(threshold, "_y", "_s"))
+    auc = roc_auc(rows.filter("_y is not null"), [entity], "_y", "_s")
+    found = {**rates(*[F.col(c) for c in COUNTS]), "roc_auc": F.col("roc_auc")}
+    return out.join(auc, entity, "left").select(
+        entity,
+        "n_sequences",
+        *FORECAST,
+        *[F.when(both_classes(), found[c]).otherwise(0.0).alias(c) for c in ANOMALY],
     )
-    if label and score:
-        found = anomaly_metrics(df, threshold, False, [entity], label, score)
-        out = out.join(found.select(entity, *ANOMALY), entity)
-    return out
 
 
 def evaluation_coverage(ids: DataFrame, evaluated: DataFrame, entity: str = "entity") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import errors as E
 
@@ -20,10 +20,13 @@ def forecast_metrics(
 ) -> DataFrame:
     """The chosen error metrics in one pass. All are 0 where no finite pair is
     left; a metric that is undefined otherwise is NULL."""
+    return df.groupBy(*by).agg(*error_columns(metrics, y_true, y_pred))
+
+
+def error_columns(metrics: Sequence[str], y_true: str = "y_true", y_pred: str = "y_pred") -> list[Column]:
+    """The same as aggregate columns."""
     none_left = E.n_pairs(y_true, y_pred) == 0
-    return df.groupBy(*by).agg(
-        *[F.when(none_left, 0.0).otherwise(METRICS[m](y_true, y_pred)).alias(m) for m in metrics]
-    )
+    return [F.when(none_left, 0.0).otherwise(METRICS[m](y_true, y_pred)).alias(m) for m in metrics]
 
 
 def forecast_loss(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import hours_between, ratio
 from .grouping import GROUP_LIMIT, merge_single_rows
 from .quantiles import exact_medians, exact_quantiles
-from .series import BLOCK_DAYS, collapsed, with_runs
+from .series import BLOCK_DAYS, collapsed
 
 REPORT_COLUMNS = (
     "total_records", "time_span_hours", "time_span_days",
@@ -46,8 +46,8 @@ def _facts(
     """One row per entity with everything the report's formulas need but the
     median: counts, bounds, gaps, distinct times, mean, spread, stuck readings.
 
-    Readings are summarised per run, then per block (both on the partitioning
-    of the block windows), then per entity over one or two rows per block.
+    Readings are summarised per block, on the partitioning of the block
+    windows, and then per entity over one or two rows per block.
     """
     e = f"`{entity}`"
     near, day = f"interval '{2 * g * 3600:.6f}' second", "interval '24' hour"
@@ -56,21 +56,36 @@ def _facts(
     def stuck(length: str) -> str:
         return f"greatest({length} - {longest} + 1, 0)"
 
-    cells = collapsed(df, entity, ts, value, block_days, unique, limit)
-    cells = with_runs(cells, entity) if runs else cells.withColumn("_run", F.lit(1))
-    block = f"partition by {e}, _blk"
-    cells = cells.selectExpr(
+    block = f"partition by {e}, _blk order by _t, _v"
+    whole = f"({block} rows between unbounded preceding and unbounded following)"
+    upto = f"({block} rows between unbounded preceding and current row)"
+    cells = collapsed(df, entity, ts, value, block_days, unique, limit).selectExpr(
         "*",
-        "if(_v is not null, _c, null) as _known",
-        f"_t - lag(_t) over ({block} order by _t, _v) as _step",
-        f"sum(_c * _v) over ({block}) / nullif(sum(if(_v is not null, _c, 0)) over ({block}), 0) as _bmean",
+        "if(_v is not null, _c, 0) as _known",
+        f"_t - lag(_t) over ({block}) as _step",
+        f"lag(_v) ignore nulls over ({block}) as _pv",
+        f"sum(_c * _v) over {whole} / nullif(sum(if(_v is not null, _c, 0)) over {whole}, 0) as _bmean",
     )
-    per_run = cells.groupBy(entity, "_blk", "_run").agg(*map(F.expr, (
+    if runs:
+        # Readings seen so far, and how many of them came before the current run.
+        cells = cells.selectExpr("*", f"sum(_known) over {upto} as _seen").selectExpr(
+            "*", f"max(if(_v is not null and not (_v <=> _pv), _seen - _known, 0)) over {upto} as _before"
+        )
+        per_run = (
+            f"sum(if(_before > 0 and _v is not null, greatest(0, least(_known, _seen - _before - {longest} + 1)), 0)) as _stuck",
+            "max(if(_before = 0, _v, null)) as v_first",
+            "sum(if(_before = 0, _known, 0)) as l_first",
+            "max_by(_v, if(_v is not null, _seen, null)) as _v_end",
+            "max(_before) as _runs_before",
+        )
+    else:
+        per_run = ()
+    per_block = cells.groupBy(entity, "_blk").agg(*map(F.expr, (
         "sum(_c) as n",
-        "coalesce(sum(_known), 0) as m",
-        "coalesce(sum(if(_v = 0, _c, null)), 0) as zeros",
-        "sum(_known * _v) as total",
-        "sum(_known * (_v - _bmean) * (_v - _bmean)) as spread",
+        "sum(_known) as m",
+        "sum(if(_v = 0, _c, 0)) as zeros",
+        "sum(_c * _v) as total",
+        "sum(_c * (_v - _bmean) * (_v - _bmean)) as spread",
         f"count_if(_step > {near}) as gaps_2h",
         f"count_if(_step > {day}) as gaps_24h",
         "count_if(_step is null or _step > interval '0' second) as times",
@@ -78,21 +93,15 @@ def _facts(
         "max(_t) as t_max",
         "min(_v) as v_min",
         "max(_v) as v_max",
+        *per_run,
     )))
-    later = "(_run = _runs and _run > 1)"
-    per_block = (
-        per_run.selectExpr("*", f"max(_run) over ({block}) as _runs")
-        .groupBy(entity, "_blk")
-        .agg(*map(F.expr, (
-            *[f"sum({c}) as {c}" for c in SUMS],
-            *[f"{f}({c}) as {c}" for c, f in BOUNDS.items()],
-            f"sum(if(_run > 1 and not {later}, {stuck('m')}, 0)) as inner_stuck",
-            "max(if(_run = 1, v_max, null)) as v_first",
-            "max(if(_run = 1, m, null)) as l_first",
-            f"max(if({later}, v_max, null)) as v_last",
-            f"max(if({later}, m, null)) as l_last",
-        )))
-    )
+    if runs:
+        per_block = per_block.selectExpr(
+            "*",
+            "if(_runs_before > 0, _v_end, null) as v_last",
+            "if(_runs_before > 0, m - _runs_before, 0) as l_last",
+        ).selectExpr("*", f"_stuck - {stuck('l_last')} as inner_stuck")
+    edge_columns = ("inner_stuck", "v_first", "l_first", "v_last", "l_last") if runs else ()
 
     # Across blocks: gaps and runs that cross a block border, pooled spread.
     series = f"partition by {e}"
@@ -101,7 +110,7 @@ def _facts(
         f"t_min - lag(t_max) over ({series} order by _blk) as _border",
         f"total / nullif(m, 0) - sum(total) over ({series}) / nullif(sum(m) over ({series}), 0) as _off",
     ).selectExpr(
-        e, "_blk", "inner_stuck", "v_first", "l_first", "v_last", "l_last",
+        e, "_blk", *edge_columns,
         *[c for c in SUMS if c not in ("gaps_2h", "gaps_24h", "spread")],
         *BOUNDS,
         f"gaps_2h + if(_border > {near}, 1, 0) as gaps_2h",
