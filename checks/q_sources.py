@@ -105,11 +105,18 @@ def s7(spark, d):
     return src.read_columns(spark, f"{d}/events.parquet", ["user_id", "value"])
 
 
-@query("S8_column_names", "select column_name from (describe events)")
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
+@query(
+    "S8_column_names",
+    " union all ".join(f"select '{c}' column_name, count({c}) present from events" for c in EVENT_COLUMNS),
+)
 def s8(spark, d):
-    names = src.column_names(spark, f"{d}/events.parquet")
-    rows = table(spark, d, "events").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("column_name"))
-    return rows
+    path = f"{d}/events.parquet"
+    names = src.column_names(spark, path)
+    counts = spark.read.parquet(path).agg(*[F.count(c).alias(c) for c in names])
+    return counts.unpivot([], names, "column_name", "present")
 
 
 @query("S9_csv_report", REPORT_SQL, *report_ctes("runs"))

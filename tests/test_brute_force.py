@@ -157,8 +157,10 @@ def test_sequences_equal_slicing(df, rows, shape):
     assert got == want
 
 
-def test_lags_equal_shifting(df, rows):
-    got = {(r["entity"], r["seq"]): (r["one"], r["five"]) for r in series.lag_columns(df, {"one": 1, "five": 5}, tiebreak=["seq"], block_days=2).collect()}
+@pytest.mark.parametrize("method", ["blocks", "range"])
+def test_lags_equal_shifting(df, rows, method):
+    out = series.lag_columns(df, {"one": 1, "five": 5}, tiebreak=["seq"], block_days=2, method=method)
+    got = {(r["entity"], r["seq"]): (r["one"], r["five"]) for r in out.collect()}
     for e in {r[0] for r in rows}:
         rs = sorted((r for r in rows if r[0] == e), key=lambda r: (r[1], r[2]))
         for i, r in enumerate(rs):

@@ -74,7 +74,7 @@ def roc_auc(
         .selectExpr(
             "*",
             f"sum(_q) over ({bucket} order by _s range between unbounded preceding and current row) as _upto",
-            f"sum(_q) over ({bucket}, _s) as _same",
+            f"sum(_q) over ({bucket} order by _s range between current row and current row) as _same",
         )
         .groupBy(*by, "_b")
         .agg(*map(F.expr, ("sum(_p) as _p", "sum(_q) as _q", "sum(double(_p) * (_upto - double(_same) / 2)) as _pairs")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import hours_between, ratio
 from .grouping import GROUP_LIMIT, merge_single_rows
-from .quantiles import exact_medians, exact_quantiles
+from .quantiles import exact_quantiles
 from .series import BLOCK_DAYS, collapsed
 
 REPORT_COLUMNS = (
@@ -260,6 +260,17 @@ def select_high_quality(
 ) -> DataFrame:
     """Rows of the report that meet all four criteria."""
     return report.filter(
+        _meets(min_quality_score, min_records, min_time_span_hours, max_gap_ratio)
+    )
+
+
+def _meets(
+    min_quality_score: float = 0.8,
+    min_records: int = 8760,
+    min_time_span_hours: float = 8760,
+    max_gap_ratio: float = 0.05,
+) -> Column:
+    return (
         (F.col("quality_score") >= min_quality_score)
         & (F.col("total_records") >= min_records)
         & (F.col("time_span_hours") >= min_time_span_hours)
@@ -269,14 +280,15 @@ def select_high_quality(
 
 def selection_summary(report: DataFrame, **criteria) -> DataFrame:
     """How many entities the criteria select, and the quality of those."""
-    chosen = select_high_quality(report, **criteria)
-    plain = chosen.agg(
-        F.count(F.lit(1)).alias("selected"),
-        F.avg("quality_score").alias("mean_score"),
-        F.min("quality_score").alias("min_score"),
-        F.avg("completeness_ratio").alias("mean_completeness"),
-        F.avg("continuity_ratio").alias("mean_continuity"),
+    chosen = _meets(**criteria)
+    score = F.when(chosen, F.col("quality_score"))
+    plain = report.agg(
+        F.count(F.lit(1)).alias("entities"),
+        F.count_if(chosen).alias("selected"),
+        F.avg(score).alias("mean_score"),
+        F.min(score).alias("min_score"),
+        F.avg(F.when(chosen, F.col("completeness_ratio"))).alias("mean_completeness"),
+        F.avg(F.when(chosen, F.col("continuity_ratio"))).alias("mean_continuity"),
     )
-    med = exact_medians(chosen, {"median_score": "quality_score"})
-    total = report.agg(F.count(F.lit(1)).alias("entities"))
-    return merge_single_rows(plain, med, total).withColumn("selection_rate_pct", 100 * ratio("selected", "entities"))
+    median = exact_quantiles(report.filter(chosen), "quality_score", {"median_score": 0.5})
+    return merge_single_rows(plain, median).withColumn("selection_rate_pct", 100 * ratio("selected", "entities"))

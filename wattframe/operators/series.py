@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import day_block, duration, is_finite
+from ..session import lazy_checkpoint
 from .grouping import GROUP_LIMIT, join_per_key, split_hot
 
 BLOCK_DAYS = 32
@@ -35,14 +36,25 @@ def row_index(
     tiebreak: Sequence[str] = (),
     name: str = "idx",
     block_days: int = BLOCK_DAYS,
+    method: str = "blocks",
 ) -> DataFrame:
     """0-based position of each row in its entity's series (plus ``tiebreak``).
 
-    Rows are numbered inside their block; the number of rows in earlier blocks
-    is a prefix sum over one row per block. Meant for series with about one
-    row per (entity, time): run ``dedup`` first where copies are common.
+    Rows are numbered inside a piece of the series; the number of rows in
+    earlier pieces is a prefix sum over one row per piece. With ``blocks`` a
+    piece is a block of days: one shuffle, for series with about one row per
+    (entity, time). With ``range`` the rows are first range-partitioned by
+    (entity, time, tiebreak) and a piece is what one partition holds, so even
+    a huge number of rows at one time is cut; that costs a checkpoint.
     """
-    keyed = df.withColumn("_blk", day_block(ts, block_days))
+    if method == "blocks":
+        keyed = df.withColumn("_blk", day_block(ts, block_days))
+    elif method == "range":
+        placed = df.repartitionByRange(F.col(entity), F.col(ts), *[F.col(c) for c in tiebreak])
+        # Both uses below must see the same partitions, also after a lost executor.
+        keyed = lazy_checkpoint(placed).withColumn("_blk", F.spark_partition_id())
+    else:
+        raise ValueError(f"unknown method {method!r}")
     series = Window.partitionBy(entity).orderBy("_blk")
     offsets = (
         keyed.groupBy(entity, "_blk")
@@ -219,6 +231,7 @@ def lag_columns(
     value: str = "value",
     tiebreak: Sequence[str] = (),
     block_days: int = BLOCK_DAYS,
+    method: str = "blocks",
 ) -> DataFrame:
     """``value`` of so many rows earlier in the entity's series, one column per
     entry of ``lags``, NULL where there is none.
@@ -229,7 +242,7 @@ def lag_columns(
     """
     k = max(int(n) for n in lags.values())
     size = 16 * k
-    pos = row_index(df, entity, ts, tiebreak, "_idx", block_days)
+    pos = row_index(df, entity, ts, tiebreak, "_idx", block_days, method)
     own = F.floor(F.col("_idx") / size).cast("long")
     tail = (F.col("_idx") % size) >= size - k
     placed = pos.withColumn(
@@ -252,9 +265,10 @@ def lag_baseline(
     tiebreak: Sequence[str] = (),
     name: str = "y_base",
     block_days: int = BLOCK_DAYS,
+    method: str = "blocks",
 ) -> DataFrame:
     """Seasonal persistence: ``y_true`` of ``k`` rows earlier as ``y_base``."""
-    return lag_columns(df, {name: k}, entity, ts, y_true, tiebreak, block_days)
+    return lag_columns(df, {name: k}, entity, ts, y_true, tiebreak, block_days, method)
 
 
 def latest_rows(
@@ -289,6 +303,7 @@ def sliding_sequences(
     contiguous_step: str | None = None,
     keep: Sequence[str] = (),
     block_days: int = BLOCK_DAYS,
+    method: str = "blocks",
 ) -> DataFrame:
     """Training windows: ``lookback`` rows of ``features`` as ``x`` and the
     next ``horizon`` values as ``y``, every ``stride`` rows.
@@ -302,7 +317,7 @@ def sliding_sequences(
     """
     span = lookback + horizon
     size = stride * -(-span // stride)
-    pos = row_index(df, entity, ts, tiebreak, "_idx", block_days)
+    pos = row_index(df, entity, ts, tiebreak, "_idx", block_days, method)
     own = F.floor(F.col("_idx") / size).cast("long")
     shared = (F.col("_idx") % size < span - 1) & (own > 0)
     cell = F.struct(

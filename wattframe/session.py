@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +37,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = "/tmp/wattframe"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def lazy_checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, written by the first job
+    that needs the rows."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
+    return df.checkpoint(eager=False)
