@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .exact_dedup import duplicate_report
+from .jaccard_join import similar_documents
 from .toxicity import toxicity_report
 
 #: Tokenizer files; every executor has them at the same place.
@@ -32,6 +33,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
 SQL: dict[str, str] = {
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
