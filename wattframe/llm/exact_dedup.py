@@ -53,7 +53,8 @@ def exact_duplicates(
         groups = left.groupBy("grp", digit.alias("digit")).agg(F.count("*").alias("n"), F.max("id").alias("keep")).where("n > 1")
         groups = stored(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
         ended = F.col("n").isNull() | (F.length("digit") < width)
-        split = left.withColumn("digit", digit).join(groups, ["grp", "digit"], "left").select(
+        # Merged, not broadcast: groups of copies grow with the table.
+        split = left.withColumn("digit", digit).join(groups.hint("merge"), ["grp", "digit"], "left").select(
             ended.alias("ended"),
             F.col("next").alias("grp"),
             "id",
