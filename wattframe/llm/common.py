@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wattframe.session import shared_path
@@ -51,7 +52,7 @@ def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``most_bytes`` of text each (a
     single longer text is a part of its own)."""
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(size):
         if i > start and total + n > most_bytes:

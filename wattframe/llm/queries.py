@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_digests
 from .exact_dedup import duplicate_report
 from .jaccard_join import similar_documents
+from .mixing import mixture
+from .sharding import shard_documents
 from .toxicity import toxicity_report
 
 #: Tokenizer files; every executor has them at the same place.
@@ -20,11 +22,25 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Shares of the corpus's tokens that each language shall have.
+TARGETS = {"en": 0.55, "fr": 0.15, "de": 0.15, "es": 0.15}
+SHARDS = 24
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+    share = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(TARGETS)]
+    return mixed.select(F.col("id").alias("doc_id"), "tokens", *share, "rate", "copies")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
