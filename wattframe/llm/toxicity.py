@@ -43,6 +43,12 @@ PATTERNS = (
 STEMS = (4, 5, 6)
 #: Bounds of the labelled sample that the model is fitted on.
 MAX_TOXIC, MAX_OTHER = 4000, 8000
+#: Least rate at which an annotator marks toxic documents, and most for others.
+ANNOTATOR = (0.999, 0.001)
+#: Log odds that all other voters give together, at most.
+MOST_EVIDENCE = 5.0
+#: What makes a term telling: likelihood ratio, and log odds against the other class.
+MIN_RATIO, MIN_LIFT = 9.0, 1.5
 CACHE_ENTRIES = 300_000
 _WORDS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -68,10 +74,10 @@ class Model:
     correlated: list[tuple[str, str, float]]
 
 
-def _term_counts(sample: DataFrame, min_docs: int, most: int) -> list[tuple[bytes, int, int]]:
-    """Terms with the most telling difference between the classes: counts of
-    toxic and other documents. At most ``most`` rows reach the driver."""
-    schema = "term binary, toxic int"
+def _telling_terms(sample: DataFrame, most: int) -> list[bytes]:
+    """Terms that toxic documents of ``sample`` hold more often than chance
+    explains, the most telling first: likelihood ratio of ``MIN_RATIO`` or more,
+    and ``MIN_LIFT`` in log odds. At most ``most`` of them reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,13 +93,14 @@ def _term_counts(sample: DataFrame, min_docs: int, most: int) -> list[tuple[byte
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return []
-    counts = sample.mapInArrow(run, schema).groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
-    )
-    pa_, pb_ = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
-    top = counts.where(f"a + b >= {min_docs}").withColumn("z", F.log(pa_ / pb_) * F.sqrt(F.greatest("a", "b")))
-    top = top.orderBy(F.abs("z").desc(), "term").limit(most)
-    return [(bytes(r["term"]), r["a"], r["b"], r["z"]) for r in top.collect()]
+    a, b, n = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    counts = sample.mapInArrow(run, "term binary, toxic int").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    share = pos / (pos + neg)
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
+    told = counts.withColumn("ratio", 2 * (part(a, share) + part(b, 1 - share))).withColumn("lift", F.log((a + 0.5) / (pos + 1) / ((b + 0.5) / (neg + 1))))
+    seeds = F.col("term").isin([bytearray(w.encode()) for w in SEED_TERMS])
+    top = told.where(((F.col("ratio") >= MIN_RATIO) & (F.col("lift") > MIN_LIFT)) | (seeds & (F.col("lift") > 0)))
+    return [bytes(r["term"]) for r in top.orderBy(F.desc("ratio"), "term").limit(most).collect()]
 
 
 def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +108,8 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
 
     Returns the posterior of each document, the rate at which each voter fires
     in class 1 and 0 (2 by voters), and the correlation of voters within the
-    classes. ``start`` is a first guess of the posterior.
+    classes. ``start`` is a first guess of the posterior. The last voter is the
+    annotator, who is trusted: wrong on few documents, and never discounted.
     """
     n, v = votes.shape
     post, keep = start.copy(), np.ones(v)
@@ -110,42 +118,54 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     for step in range(rounds):
         both = np.stack([post, 1 - post])
         rates = (both @ votes + 0.5 * votes.mean(0)) / (both.sum(1)[:, None] + 0.5)
-        rates = np.clip(rates, 1e-4, 1 - 1e-4)
+        rates = np.clip(rates, 1e-3, 1 - 1e-3)
+        rates[:, -1] = max(rates[0, -1], ANNOTATOR[0]), min(rates[1, -1], ANNOTATOR[1])
         if step >= 3:
             # What is left of a vote once the class is known.
             rest = votes - post[:, None] * rates[0] - (1 - post)[:, None] * rates[1]
             sd = np.maximum(np.sqrt((rest**2).mean(0)), 1e-6)
             corr = (rest.T @ rest) / n / np.outer(sd, sd)
-            keep = 1 / np.clip(corr - np.eye(v), 0, None).sum(0).__add__(1)
+            keep = 1 / (1 + np.clip(corr - np.eye(v), 0, None).sum(0))
+            keep[-1] = 1
         on, off = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
-        logit = np.log(prior / (1 - prior)) + votes @ (keep * on) + (1 - votes) @ (keep * off)
+        odds = votes * (keep * on) + (1 - votes) * (keep * off)
+        # Voters that only look at the text never outweigh an annotator together.
+        logit = np.log(prior / (1 - prior)) + np.clip(odds[:, :-1].sum(1), -MOST_EVIDENCE, MOST_EVIDENCE) + odds[:, -1]
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rates, corr
 
 
-def _fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, l2: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets over sparse 0/1 rows, by accelerated
-    gradient steps."""
+def _fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, l2: float = 0.1, passes: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets over sparse 0/1 rows: Newton steps on
+    one weight after the other."""
     n = len(rows)
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    w, b = np.zeros(size), float(np.log(max(target.mean(), 1e-4) / max(1 - target.mean(), 1e-4)))
-    w0, b0 = w, b
-    # Each document counts for its class, so that the rarer class is not drowned.
-    share = max(target.mean(), 1e-3)
-    weight = target * (0.5 / share) + (1 - target) * (0.5 / (1 - share))
-    per_col = np.bincount(col, weights=weight[doc], minlength=size) / n
-    rate = 4.0 / (np.maximum(per_col, 1e-3) + l2)  # a step of its own for each column, as rare terms have small gradients
-    active = max(1.0, float(np.mean([len(r) for r in rows]))) if n else 1.0
-    rate = np.minimum(rate / active, 200.0)
-    for t in range(steps):
-        m = t / (t + 3)
-        v, c = w + m * (w - w0), b + m * (b - b0)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=v[col], minlength=n) + c, -30, 30)))
-        g = weight * (p - target)
-        w0, b0 = w, b
-        w = v - rate * (np.bincount(col, weights=g[doc], minlength=size) / n + l2 * v)
-        b = c - 0.5 * g.mean()
+    col = np.concatenate(rows)
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    at = np.searchsorted(col, np.arange(size + 1))
+    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    # The rarer class counts more, though not as much as the other altogether.
+    weight = target * np.sqrt(0.5 / share) + (1 - target) * np.sqrt(0.5 / (1 - share))
+    w, b = np.zeros(size), float(np.log(share / (1 - share)))
+    z = np.full(n, b)
+    for _ in range(passes):
+        most = 0.0
+        for j in range(size):
+            d = doc[at[j] : at[j + 1]]
+            p = 1 / (1 + np.exp(-np.clip(z[d], -30, 30)))
+            g = (weight[d] * (p - target[d])).sum() + l2 * w[j]
+            step = float(np.clip(-g / ((weight[d] * p * (1 - p)).sum() + l2 + 1e-3 * len(d)), -1, 1))
+            w[j] += step
+            z[d] += step
+            most = max(most, abs(step))
+        for _ in range(3):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            step = float(np.clip(-(weight * (p - target)).sum() / ((weight * p * (1 - p)).sum() + 1e-3 * n), -1, 1))
+            b += step
+            z += step
+        if most < 1e-2:
+            break
     return w, b
 
 
@@ -187,27 +207,25 @@ def fit(
     max_other: int = MAX_OTHER,
     terms: int = 3000,
     voters: int = 24,
-    min_docs: int = 2,
 ) -> Model:
     """Fit on the labelled documents of the training fold, a bounded sample of
     them as ``training_sample`` says. Without documents of both classes there is
     no lexicon, and the classifier knows the seed terms only."""
     sample = training_sample(docs, labels, id_col, text_col, label_col, max_toxic, max_other).persist()
     try:
-        return _fit(sample, terms, voters, min_docs)
+        return _fit(sample, terms, voters)
     finally:
         sample.unpersist()
 
 
-def _fit(sample: DataFrame, terms: int, voters: int, min_docs: int) -> Model:
-    counts = _term_counts(sample, min_docs, terms)
+def _fit(sample: DataFrame, terms: int, voters: int) -> Model:
+    told = _telling_terms(sample, terms)
     seeds = {w.encode() for w in SEED_TERMS}
-    if not counts:
+    if not told:
         return Model({w: 6.0 for w in seeds}, -3.0, [], [])
-    index = {t: i for i, (t, *_) in enumerate(counts)}
-    # Lexicon voters: telling terms of the toxic class, dealt out in turn.
-    toxic_terms = [t for t, a, b, z in counts if z > 3]
-    group = {index[t]: k % voters for k, t in enumerate(toxic_terms)}
+    index = {t: i for i, t in enumerate(told)}
+    # Lexicon voters: the terms, dealt out in turn.
+    group = {i: i % voters for i in index.values()}
     names = [f"lexicon {k}" for k in range(voters)] + ["seed terms"] + [f"pattern {p}" for p in PATTERNS] + ["annotator"]
     n_votes = len(names)
 
