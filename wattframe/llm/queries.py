@@ -11,6 +11,7 @@ from .bpe import bpe_digests
 from .exact_dedup import duplicate_report
 from .jaccard_join import similar_documents
 from .mixing import mixture
+from .neighbours import nearest
 from .sharding import shard_documents
 from .toxicity import toxicity_report
 
@@ -41,6 +42,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "tokens", *share, "rate", "copies")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
