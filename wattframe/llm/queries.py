@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import bpe_digests
 from .exact_dedup import duplicate_report
 from .jaccard_join import similar_documents
+from .licenses import scan_licenses
 from .mixing import mixture
 from .neighbours import nearest
 from .sharding import shard_documents
+from .token_files import token_files
 from .toxicity import toxicity_report
+from .warc import archive_pages
 
 #: Tokenizer files; every executor has them at the same place.
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +35,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -58,7 +69,16 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 SQL: dict[str, str] = {
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n from pages),
+        g as (select *, max(page_id) over (partition by t) as m, n >= 1000 and page_id <> max(page_id) over (partition by t) as again from p)
+        select page_id, n as payload_bytes, sha1(t) as payload_digest,
+               case when again then 'revisit' else 'response' end as record_type, case when again then m end as refers_to from g""",
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
