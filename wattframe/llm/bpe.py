@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import pick, slices, texts
 
 #: Entries a worker keeps before it starts afresh.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 _WIDTHS = (4, 8, 16, 32, 64)
 _POS_BITS = 7
 _NONE = np.int64(1) << 60
@@ -258,8 +258,9 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(rank_file, pattern)
         for batch in batches:
-            raw = [None if ids is None else vocab.decode(ids) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "decoded"])
+            for part in slices(batch, f"c{at}"):
+                raw = [None if ids is None else vocab.decode(ids) for ids in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, "decoded"])
 
     return out.mapInArrow(run, schema).toDF(*names, "decoded")
 

@@ -49,7 +49,7 @@ def reread(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.read.schema(like.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``most_bytes`` of text each (a
     single longer text is a part of its own)."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
