@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from wattframe.llm.bpe import bpe_digests
 from wattframe.llm.common import stored
 from wattframe.llm.exact_dedup import drop_exact_duplicates
-from wattframe.llm.queries import BYTE_BPE, table
+from wattframe.llm.jaccard_join import drop_similar
+from wattframe.llm.mixing import mix
+from wattframe.llm.queries import BYTE_BPE, TARGETS, table
 from wattframe.llm.toxicity import drop_toxic
 
 
@@ -27,6 +29,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more the one with the least
+    id stays."""
+    return drop_similar(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Languages reach their share of the tokens. The floor of 1 means that rare
+    languages are repeated, and no document is dropped for the mixture."""
+    return mix(docs, table(spark, sf_dir, "labels"), TARGETS, floor=1.0)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, as counts and digests."""
     return bpe_digests(docs, BYTE_BPE, public_tokenizers.PATTERN)
@@ -35,6 +49,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("exact_dedup", exact_dedup),
+    ("jaccard_join", jaccard_join),
+    ("mixing", mixing),
     ("byte_bpe", byte_bpe),
 ]
 
