@@ -189,7 +189,7 @@ def c9(spark, d):
 def j5(spark, d):
     df = fixture(spark, d, "dirty")
     ids = df.groupBy("entity").agg(F.count_if(F.col("value") == 0).alias("z")).filter("z >= 4")
-    return clean.filter_entities(df, ids.select("entity"), spread=("seq",))
+    return clean.filter_entities(df, ids.select("entity"))
 
 
 @query(

@@ -20,8 +20,9 @@ NAIVE_CTES = (
     "tail as (select entity, ts, value, row_number() over (partition by entity order by ts desc, seq desc) back, "
     "max(ts) over (partition by entity) last_ts from readings)",
     f"steps as (select unnest(range(1, {AHEAD + 1})) h)",
-    "naive as (select entity, cast(h as integer) h, last_ts + to_hours(cast(h as integer)) ts, value pred from tail join steps "
-    f"on back = {SEASON} - (h - 1) % {SEASON})",
+    "ends as (select entity, max(ts) last_ts from readings group by entity)",
+    "naive as (select e.entity, cast(h as integer) h, e.last_ts + to_hours(cast(h as integer)) ts, t.value pred from ends e "
+    f"cross join steps left join tail t on t.entity = e.entity and t.back = {SEASON} - (h - 1) % {SEASON})",
 )
 
 

@@ -425,3 +425,57 @@ def _ranked(key: str, metric: str, worst: bool, order: str) -> None:
 _ranked("O5_rank_entities_worst_nrmse", "nrmse", True, "desc")
 _ranked("O5_rank_entities_worst_skill", "skill_w168", True, "asc")
 _ranked("O5_rank_entities_best_skill", "skill_w168", False, "desc")
+
+
+# Scores that are missing or no number, and labels that are missing.
+FAULTY_CTE = (
+    "faulty as (select event_id % 3 g, case when event_id % 11 = 0 then null when event_id % 13 = 0 and event_id % 3 = 1 "
+    "then cast('NaN' as double) else y_score end y_score, case when event_id % 17 = 0 then null else y_label end y_label from predictions)"
+)
+
+
+def faulty(spark, d):
+    id_, nan = F.col("event_id"), F.lit(float("nan"))
+    score = F.when(id_ % 11 == 0, F.lit(None).cast("double")).when((id_ % 13 == 0) & (id_ % 3 == 1), nan).otherwise(F.col("y_score"))
+    label = F.when(id_ % 17 == 0, F.lit(None).cast("int")).otherwise(F.col("y_label"))
+    return fixture(spark, d, "predictions").select((id_ % 3).alias("g"), score.alias("y_score"), label.alias("y_label"))
+
+
+_HIT = "(y_score >= 0.5 and not isnan(y_score))"
+
+
+@query(
+    "E9_binary_counts_faulty_scores",
+    f"select g, count(*) filter (y_label = 1 and {_HIT}) true_positives, count(*) filter (y_label <> 1 and {_HIT}) false_positives, "
+    f"count(*) filter (y_label <> 1 and not {_HIT}) true_negatives, count(*) filter (y_label = 1 and not {_HIT}) false_negatives "
+    "from faulty where y_label is not null and y_score is not null group by g",
+    FAULTY_CTE,
+)
+def e9_faulty(spark, d):
+    return classification.binary_metrics(faulty(spark, d), by=["g"]).select("g", *classification.COUNTS)
+
+
+@query(
+    "E10_roc_auc_faulty_scores",
+    "select g, " + r(
+        "case when max(case when isnan(y_score) then 1 else 0 end) = 1 then 0e0 else "
+        "(sum(case when y_label = 1 then rk end) - count(*) filter (y_label = 1) * (count(*) filter (y_label = 1) + 1) / 2e0) "
+        "/ (count(*) filter (y_label = 1) * count(*) filter (y_label <> 1)) end", "roc_auc"
+    ) + " from (select *, rank() over w + (count(*) over (partition by g, y_score) - 1) / 2e0 rk from faulty "
+    "where y_label is not null and y_score is not null window w as (partition by g order by y_score)) group by g",
+    FAULTY_CTE,
+)
+def e10_faulty(spark, d):
+    return classification.roc_auc(faulty(spark, d), by=["g"])
+
+
+@query(
+    "E11_threshold_counts_faulty_scores",
+    f"select g, cast(i as integer) i, count(*) filter (y_label = 1 and {_HIT.replace('0.5', 'i * (1e0 / 99)')}) true_positives, "
+    f"count(*) filter (y_label <> 1 and {_HIT.replace('0.5', 'i * (1e0 / 99)')}) false_positives "
+    "from faulty cross join (select unnest(range(100)) i) where y_label is not null and y_score is not null group by all",
+    FAULTY_CTE,
+)
+def e11_faulty(spark, d):
+    curve = classification.threshold_curve(faulty(spark, d), by=["g"])
+    return curve.select("g", "i", *classification.COUNTS[:2])

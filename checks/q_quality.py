@@ -224,6 +224,11 @@ def o6(spark, d):
     return split.limit_entities(split.split_entities(ids(spark, d)), split.limits(30))
 
 
+@query("O6_limit_entities_none", "select entity, split from placed", *split_ctes("readings", 0.6, 0.2), *LIMITED)
+def o6_none(spark, d):
+    return split.limit_entities(split.split_entities(ids(spark, d)))
+
+
 FEATURES_CTE = (
     f"features as (select entity, ts, seq, value, {CAL_SQL}, row_number() over (partition by entity order by ts, seq) - 1 idx, "
     "count(*) over (partition by entity) n from readings)"
@@ -250,14 +255,14 @@ def _fit_sql(src: str) -> str:
     FEATURES_CTE,
     *split_ctes("readings", 0.6, 0.2),
     *LIMITED,
-    f"starts as (select f.entity, f.idx i from features f join placed p on p.entity = f.entity and p.split = 'train' and p.rn <= 10 "
-    f"where f.idx % {STRIDE * 10} = 0 and f.idx <= f.n - {L + H} and f.idx < 100 * {STRIDE * 10})",
+    f"starts as (select f.entity, f.idx i from features f join placed p on p.entity = f.entity and p.split = 'train' "
+    f"where f.idx % {STRIDE * 10} = 0 and f.idx <= f.n - {L + H})",
     f"windows as (select f.* from features f join starts s on s.entity = f.entity and f.idx between s.i and s.i + {L - 1})",
 )
 def n1(spark, d):
     parts = split.split_entities(ids(spark, d))
-    few = split.limit_entities(parts, {"train": 10}).filter("split = 'train'")
-    out = scaling.fit_scaler_sampled(features(spark, d), few, L, H, STRIDE, tiebreak=["seq"])
+    train = parts.filter("split = 'train'")
+    out = scaling.fit_scaler_sampled(features(spark, d), train, L, H, STRIDE, tiebreak=["seq"])
     return out.withColumn("var", F.round("var", 5))
 
 

@@ -127,17 +127,30 @@ def s9(spark, d):
     return reports.read_csv(spark, out, df.schema)
 
 
+@query(
+    "C12_default_flow",
+    f"select entity, ts, {r('cast(value as float)', 'value', 4)}, meter, {CAL_SQL} from dirty where meter = 'electricity' "
+    "qualify row_number() over (partition by entity, ts order by cast(value as float) nulls first) = 1",
+)
+def default_flow(spark, d):
+    """Write, read and preprocess, nothing but defaults."""
+    path = shared_path(spark, "default-flow")
+    src.write_readings(fixture(spark, d, "dirty"), path)
+    clean = preprocess(src.read_readings(spark, path))
+    return clean.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
 @query("S10_split_json", "select entity, split from split", *split_ctes("readings", 0.6, 0.2))
 def s10(spark, d):
     out = shared_path(spark, "split-json")
-    reports.write_split(split.split_entities(fixture(spark, d, "readings")), out)
+    reports.write_split(split.split_entities(fixture(spark, d, "readings")), out, document=True)
     return reports.read_split(spark, out)
 
 
 @query("S10_split_json_lines", "select entity, split from split", *split_ctes("readings", 0.6, 0.2))
 def s10_lines(spark, d):
     out = shared_path(spark, "split-lines")
-    reports.write_split(split.split_entities(fixture(spark, d, "readings")), out, limit=1)
+    reports.write_split(split.split_entities(fixture(spark, d, "readings")), out)
     return reports.read_split(spark, out)
 
 

@@ -194,8 +194,8 @@ def test_split_rounding_and_ratios(spark):
 
 
 def test_limits():
-    assert split.limits() == {"train": 150, "validation": 40}
-    assert split.limits(2) == {"train": 2, "validation": 1} and split.limits(everything=True) == {}
+    assert split.limits() == {} and split.limits(preset=True) == {"train": 150, "validation": 40}
+    assert split.limits(2) == {"train": 2, "validation": 1}
 
 
 def test_resolve_and_durations(spark):

@@ -52,7 +52,7 @@ def test_split_document_form(spark, tmp_path):
     got = {r["entity"]: r["split"] for r in reports.read_split(spark, str(path)).collect()}
     assert got == {"a": "train", "b": "train", "c": "validation"}
     out = str(tmp_path / "o")
-    reports.write_split(reports.read_split(spark, str(path)), out)
+    reports.write_split(reports.read_split(spark, str(path)), out, document=True)
     part = [f for f in os.listdir(out) if f.endswith(".json")]
     docs = [json.loads(line) for f in part for line in open(os.path.join(out, f))]
     assert docs == [{"train": ["a", "b"], "validation": ["c"], "test": []}]

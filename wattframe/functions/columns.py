@@ -101,8 +101,13 @@ def calendar(ts: str | Column) -> dict[str, Column]:
     }
 
 
+#: Beyond every bucket of a number.
+NAN_BUCKET = 1 << 30
+
+
 def order_bucket(v: str | Column, per_octave: int = 64) -> Column:
-    """A non-decreasing integer function of a finite or infinite DOUBLE.
+    """A non-decreasing integer function of a DOUBLE; NaN, which Spark sorts last,
+    has ``NAN_BUCKET``.
 
     ``per_octave`` buckets between each power of two and the next, mirrored
     for negative numbers, one bucket for zero. The number of buckets is fixed
@@ -112,7 +117,8 @@ def order_bucket(v: str | Column, per_octave: int = 64) -> Column:
     v = as_col(v).cast("double")
     # 2**-1074 is the smallest positive double and 2**1024 the overflow point.
     level = F.floor(F.least(F.log2(F.abs(v)), F.lit(1025.0)) * per_octave) + 1100 * per_octave
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * level).cast("int")
+    known = F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * level)
+    return F.when(F.isnan(v), F.lit(NAN_BUCKET)).otherwise(known).cast("int")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

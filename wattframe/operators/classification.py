@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import is_finite, order_bucket, ratio0
+from ..functions.columns import NAN_BUCKET, is_finite, order_bucket, ratio0
 from .grouping import GROUP_LIMIT, merge_single_rows, split_hot
 
 COUNTS = ("true_positives", "false_positives", "true_negatives", "false_negatives")
@@ -26,8 +26,9 @@ def rates(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[str, Column]:
 
 
 def confusion_counts(threshold: float, label: str, score: str) -> list[Column]:
-    """The four counts as aggregates; rows without label or score do not count."""
-    truth, hit = F.col(label) == 1, F.col(score) >= threshold
+    """The four counts as aggregates; rows without label or score do not count. A
+    NaN score reaches no threshold."""
+    truth, hit = F.col(label) == 1, (F.col(score) >= threshold) & ~F.isnan(F.col(score).cast("double"))
     cells = (truth & hit, ~truth & hit, ~truth & ~hit, truth & ~hit)
     return [F.count_if(c).alias(n) for c, n in zip(cells, COUNTS)]
 
@@ -54,10 +55,12 @@ def roc_auc(
 ) -> DataFrame:
     """Area under the ROC curve, ties counted half; 0 for a single class.
 
-    Pairs are counted inside order-preserving score buckets, and one row per
+    Rows without label or score do not count; a NaN score has no rank, and the area
+    of its group is 0. Pairs are counted inside order-preserving score buckets, and one row per
     bucket carries the counts of the buckets below. A bucket with very many
     rows first collapses to counts per distinct score.
     """
+    df = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     by, part = list(by), ", ".join(f"`{b}`" for b in by)
     rows = df.select(
         *by,
@@ -87,7 +90,8 @@ def roc_auc(
         )
         .groupBy(*by)
         .agg(F.expr(
-            "coalesce(sum(_pairs + double(_p) * _below) / nullif(sum(double(_p)) * sum(double(_q)), 0D), 0D) as roc_auc"
+            f"if(max(_b) = {NAN_BUCKET}, 0D, "
+            "coalesce(sum(_pairs + double(_p) * _below) / nullif(sum(double(_p)) * sum(double(_q)), 0D), 0D)) as roc_auc"
         ))
     )
 
@@ -99,8 +103,10 @@ def threshold_curve(df: DataFrame, by: Sequence[str] = (), label: str = "y_label
     later thresholds give the counts. At most ``GRID + 1`` rows per group.
     """
     by = list(by)
+    df = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     step = 1.0 / (GRID - 1)
-    s = F.col(score).cast("double")
+    # A NaN score reaches no threshold.
+    s = F.nanvl(F.col(score).cast("double"), F.lit(float("-inf")))
     near = F.least(F.greatest(F.floor(s / step), F.lit(-1)), F.lit(GRID - 1))
     # The division may be off by one step at a grid point.
     at = (

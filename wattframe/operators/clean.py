@@ -91,22 +91,26 @@ def recent_history(df: DataFrame, days: int = 180, entity: str = "entity", ts: s
     ends = df.groupBy(entity).agg(F.max(ts).alias("_end"))
     span = F.make_dt_interval(days=F.lit(int(days)))
     return (
-        join_per_key(df, ends, [entity], [ts], "inner").filter(F.col(ts) >= F.col("_end") - span).drop("_end")
+        join_per_key(df, ends, [entity], "inner").filter(F.col(ts) >= F.col("_end") - span).drop("_end")
     )
 
 
-def filter_entities(df: DataFrame, ids: DataFrame, entity: str = "entity", spread: Sequence[str] = ("ts",)) -> DataFrame:
+def filter_entities(df: DataFrame, ids: DataFrame, entity: str = "entity") -> DataFrame:
     """Rows whose entity is in the table ``ids`` (a semi join)."""
-    return join_per_key(df, ids.select(entity).distinct(), [entity], spread, "left_semi")
+    return join_per_key(df, ids.select(entity).distinct(), [entity], "left_semi")
 
 
-def dedup(df: DataFrame, entity: str = "entity", ts: str = "ts", tiebreak: Sequence[str] = ("seq",)) -> DataFrame:
-    """The first row per (entity, time) in ``tiebreak`` order.
+def dedup(df: DataFrame, entity: str = "entity", ts: str = "ts", tiebreak: Sequence[str] | None = None) -> DataFrame:
+    """The first row per (entity, time) in ``tiebreak`` order; by default that of
+    all other columns, ``seq`` first if there is one, missing values first.
 
     Spark keeps only each map task's first row per key before the shuffle, so
     a large group of copies does not travel.
     """
-    w = Window.partitionBy(entity, ts).orderBy(*tiebreak)
+    if tiebreak is None:
+        rest = [f.name for f in df.schema.fields if f.name not in (entity, ts) and not isinstance(f.dataType, T.MapType)]
+        tiebreak = sorted(rest, key=lambda c: c != "seq") or [entity]
+    w = Window.partitionBy(entity, ts).orderBy(*[F.col(f"`{c}`") for c in tiebreak])
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 

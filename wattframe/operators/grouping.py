@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 32
-
 # A group of up to so many narrow rows is sorted by one task.
 GROUP_LIMIT = 4_000_000
 
@@ -15,27 +13,24 @@ GROUP_LIMIT = 4_000_000
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> tuple[DataFrame, DataFrame]:
     """The rows of groups up to ``limit`` rows, and those of larger groups.
 
-    Sizes come from a partial aggregation over the keys alone. At most
-    ``rows / limit`` groups are larger, so their keys are safe to broadcast;
-    where there are none, adaptive execution drops the second branch.
+    Sizes come from a partial aggregation over the keys alone. The limit decides
+    on the plan only, never on the rows of a result. Where no group is larger,
+    adaptive execution drops the second branch. Groups with a null key count as
+    small ones.
     """
     keys = list(keys)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    hot = F.broadcast(hot)
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def join_per_key(detail: DataFrame, table: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a big table with one that has few rows per key.
+def join_per_key(detail: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a big table (left) with one that has few rows per key.
 
-    The key may hold a third of ``detail``, so each of its groups is cut into
-    ``SALTS`` parts by a hash of the ``spread`` columns and the small side is
-    repeated once per part. Spark still broadcasts the small side by itself
-    when its size is below the broadcast threshold.
+    A key may hold a third of ``detail``. Spark cuts such a partition by itself
+    (adaptive skew handling covers inner, left and semi joins on this side) and
+    repeats only the rows of that key, so nothing is copied for the others.
     """
-    salted = detail.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return detail.join(table, list(on), how)
 
 
 def merge_single_rows(*parts: DataFrame) -> DataFrame:
@@ -60,8 +55,13 @@ def ranked(df: DataFrame, bucket: Column, order: Sequence[Column], by: Sequence[
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*by, "_bkt").orderBy(*order)
+    # Null keys have a rank of their own.
+    same = F.col("k._bkt").eqNullSafe(F.col("o._bkt"))
+    for b in by:
+        same = same & F.col(f"k.`{b}`").eqNullSafe(F.col(f"o.`{b}`"))
+    placed = keyed.alias("k").join(offsets.alias("o"), same).select("k.*", "o._off")
     return (
-        keyed.join(offsets, [*by, "_bkt"])
+        placed
         .withColumn(name, F.row_number().over(inside).cast("long") - 1 + F.col("_off"))
         .drop("_bkt", "_off")
     )

@@ -40,28 +40,30 @@ def fit_scaler_sampled(
     lookback: int = 480,
     horizon: int = 240,
     stride: int = 8,
-    max_windows: int = 100,
+    max_windows: int | None = None,
     features: Sequence[str] = FEATURES,
     entity: str = "entity",
     ts: str = "ts",
     tiebreak: Sequence[str] = (),
 ) -> DataFrame:
-    """The scaler of a sample of windows: of each listed entity the first
-    ``max_windows`` windows at ten times the stride.
+    """The scaler of a sample of windows: of each listed entity the windows at ten
+    times the stride, or the first ``max_windows`` of them.
 
     Windows overlap, so a row counts once per window that holds it. That count
     follows from the row's position, so no window is built.
     """
     wide = stride * 10
-    chosen = filter_entities(df, entities, entity, [ts])
+    chosen = filter_entities(df, entities, entity)
     pos = row_index(chosen, entity, ts, tiebreak, "_k")
     length = chosen.groupBy(entity).agg(F.count(F.lit(1)).alias("_len"))
     k = F.col("_k")
-    windows = F.least(F.lit(max_windows), F.floor((F.col("_len") - lookback - horizon) / wide) + 1)
+    windows = F.floor((F.col("_len") - lookback - horizon) / wide) + 1
+    if max_windows is not None:
+        windows = F.least(F.lit(max_windows), windows)
     last = F.least(F.floor(k / wide), windows - 1)
     first = F.greatest(F.lit(0), F.ceil((k - lookback + 1) / wide))
     rows = (
-        join_per_key(pos, length.filter(F.col("_len") >= lookback + horizon), [entity], ["_k"], "inner")
+        join_per_key(pos, length.filter(F.col("_len") >= lookback + horizon), [entity], "inner")
         .withColumn("_times", F.greatest(F.lit(0), last - first + 1))
         .filter("_times > 0")
     )

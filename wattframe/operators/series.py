@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import day_block, duration, is_finite
 from ..session import lazy_checkpoint
-from .grouping import GROUP_LIMIT, join_per_key, split_hot
+from .grouping import GROUP_LIMIT, split_hot
 
 BLOCK_DAYS = 32
 
@@ -62,8 +62,12 @@ def row_index(
         .select(entity, "_blk", F.coalesce(F.sum("_cnt").over(_prior(series)), F.lit(0)).alias("_off"))
     )
     inside = Window.partitionBy(entity, "_blk").orderBy(ts, *tiebreak)
+    # Rows without an entity or a time have positions too: such times come first.
+    same = F.col(f"k.`{entity}`").eqNullSafe(F.col(f"o.`{entity}`")) & F.col("k._blk").eqNullSafe(F.col("o._blk"))
     return (
-        keyed.join(offsets, [entity, "_blk"])
+        keyed.alias("k")
+        .join(offsets.alias("o"), same)
+        .select("k.*", "o._off")
         .withColumn(name, F.row_number().over(inside).cast("long") - 1 + F.col("_off"))
         .drop("_blk", "_off")
     )
@@ -101,22 +105,11 @@ def time_gaps(
 def duplicate_flags(
     df: DataFrame, entity: str = "entity", ts: str = "ts", tiebreak: Sequence[str] = ("seq",)
 ) -> DataFrame:
-    """Mark second and later rows at one (entity, time) in ``tiebreak`` order.
-
-    The first row is found by an aggregate, and only times that occur more
-    than once take part in the join back. ``tiebreak`` has to be unique
-    within an (entity, time).
-    """
-    first = (
-        df.groupBy(entity, ts)
-        .agg(F.min(F.struct(*tiebreak)).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .filter("_n > 1")
-        .drop("_n")
-    )
-    marked = join_per_key(df, first, [entity, ts], tiebreak)
-    return marked.withColumn(
-        "is_duplicate", F.coalesce(F.struct(*tiebreak) != F.col("_first"), F.lit(False))
-    ).drop("_first")
+    """Mark second and later rows at one (entity, time) in ``tiebreak`` order. Rows
+    without a time are at one time. ``tiebreak`` has to be unique within an
+    (entity, time) for the same rows to be marked each time."""
+    w = Window.partitionBy(entity, ts).orderBy(*tiebreak)
+    return df.withColumn("is_duplicate", F.row_number().over(w) > 1)
 
 
 def collapsed(

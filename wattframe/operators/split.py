@@ -12,8 +12,8 @@ from .grouping import ranked
 
 NAMES = ("train", "validation", "test")
 
-# Entities used for training and validation by default.
-DEFAULT_LIMITS = {"train": 150, "validation": 40}
+# Entities of a quick run. Nothing is limited unless a caller asks.
+PRESET_LIMITS = {"train": 150, "validation": 40}
 
 
 def shuffled_rank(ids: DataFrame, seed: int = 42, entity: str = "entity", by: Sequence[str] = ()) -> DataFrame:
@@ -75,20 +75,20 @@ def training_entities(split: DataFrame, entity: str = "entity") -> DataFrame:
     return split.filter(F.col("split").isin(*NAMES[:2])).select(entity)
 
 
-def limits(n: int | None = None, everything: bool = False) -> Mapping[str, int]:
+def limits(n: int | None = None, preset: bool = False) -> Mapping[str, int]:
     """How many entities per split a run may use: ``n`` and a quarter of it (at
-    least one) for validation, the defaults, or no limit."""
+    least one) for validation, the preset, or by default no limit."""
     if n is not None:
         return {NAMES[0]: n, NAMES[1]: max(int(n * 0.25), 1)}
-    return {} if everything else dict(DEFAULT_LIMITS)
+    return dict(PRESET_LIMITS) if preset else {}
 
 
 def limit_entities(
     split: DataFrame, limit: Mapping[str, int] | None = None, seed: int = 42, entity: str = "entity"
 ) -> DataFrame:
     """The first entities of each split in its seeded order; a split without a
-    limit stays whole."""
-    limit = DEFAULT_LIMITS if limit is None else limit
+    limit stays whole, and without ``limit`` all do."""
+    limit = limit or {}
     keep = F.lit(True)
     for name, n in limit.items():
         keep = keep & ((F.col("split") != name) | (F.col("shuffle_rank") < int(n)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import CALENDAR, calendar, duration, reading
 from ..operators.grouping import join_per_key
@@ -36,18 +36,14 @@ def forecast_seasonal_naive(
 ) -> DataFrame:
     """Repeat each entity's last season of rows: entity, h, ts, pred.
 
-    A row of the last season knows the steps it stands for, so it emits them
-    itself. Steps whose row does not exist (a short series) are left out.
+    Every entity has ``horizon`` steps; where the series is too short to hold a
+    step's row, ``pred`` is NULL.
     """
     tail = latest_rows(df.select(entity, ts, value, *tiebreak), season, entity, ts, tiebreak)
-    last = F.max(ts).over(Window.partitionBy(entity))
-    first_h = season - F.col("back") + 1
-    return (
-        tail.withColumn("_last", last)
-        .filter(first_h <= horizon)
-        .withColumn("h", F.explode(F.sequence(first_h, F.lit(horizon), F.lit(season))))
-        .select(entity, "h", _ahead("_last", "h", step).alias(ts), reading(value).alias("pred"))
-    )
+    known = tail.select(F.col(entity).alias("_e"), F.col("back").cast("long").alias("_back"), reading(value).alias("pred"))
+    steps = tail.groupBy(entity).agg(F.max(ts).alias("_last")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    same = F.col(entity).eqNullSafe(F.col("_e")) & (F.col("_back") == season - (F.col("h") - 1) % season)
+    return steps.join(known, same, "left").select(entity, "h", _ahead("_last", "h", step).alias(ts), "pred")
 
 
 def forecast_profile(
@@ -110,7 +106,7 @@ def forecast_linear(
     """Fit on the train entities, predict all: entity, split, ts, y_true,
     y_pred. Lags no shorter than the horizon make it a direct forecast."""
     table = regression_table(df, lags, entity, ts, value, tiebreak)
-    table = join_per_key(table, split, [entity], [ts], "inner")
+    table = join_per_key(table, split, [entity], "inner")
     model = fit_linear(table.filter(F.col("split") == "train"), lags, ridge, value)
     return model.transform(table).select(entity, "split", ts, F.col(value).alias("y_true"), "y_pred")
 
@@ -159,7 +155,7 @@ def training_tables(
 ) -> DataFrame:
     """Finite, scaled sequences tagged with the split of their entity. Rows of
     entities outside the split go before any window is built."""
-    named = join_per_key(df, split, [entity], [ts], "inner")
+    named = join_per_key(df, split, [entity], "inner")
     seqs = sliding_sequences(
         named, lookback, horizon, stride, entity, ts, value, features, tiebreak, keep=["split"]
     )

@@ -18,7 +18,7 @@ def preprocess(
     entity: str = "entity",
     ts: str = "ts",
     value: str = "value",
-    tiebreak: Sequence[str] = ("seq",),
+    tiebreak: Sequence[str] | None = None,
 ) -> DataFrame:
     """Optional 3-hour resample, calendar features, deduplication.
 

@@ -11,6 +11,9 @@ from ..functions.columns import CALENDAR, first_present
 from ..operators.clean import TIME_NAMES, drop_unparseable_time, filter_meter
 from ..operators.reshape import stored_types, wide_to_long
 
+# What the entity column of a table may be called.
+ENTITY_NAMES = ("building_id", "bldg_id", "site_id", "entity")
+
 READINGS_SCHEMA = T.StructType([
     T.StructField("ts", T.TimestampNTZType()),
     T.StructField("entity", T.StringType()),
@@ -21,14 +24,15 @@ READINGS_SCHEMA = T.StructType([
 
 def read_wide_csv(spark: SparkSession, path: str, id_column: str = "timestamp") -> DataFrame:
     """A CSV with one numeric column per entity. Only the header line is read
-    to learn the names; the time stays text and every other column is DOUBLE."""
+    to learn the names; the time stays text and every other column is DOUBLE.
+    Files of a folder whose header has another order are an error."""
     names = spark.read.option("header", True).csv(path).columns
     if id_column not in names:
         raise ValueError(f"{path} has no column {id_column!r}")
     schema = T.StructType([
         T.StructField(c, T.StringType() if c == id_column else T.DoubleType()) for c in names
     ])
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
 
 
 def _sorted(df: DataFrame, layout: str, partitions: int | None) -> DataFrame:
@@ -91,13 +95,14 @@ def read_readings(
     spark: SparkSession,
     path: str,
     kind: str | None = "electricity",
-    entity: str = "building_id",
+    entity: str | Sequence[str] = ENTITY_NAMES,
     value: str = "value",
     meter: str = "meter",
     times: Sequence[str] = TIME_NAMES,
     nanos: bool = False,
 ) -> DataFrame:
-    """Readings as (ts, entity, [meter], value FLOAT), one meter kind.
+    """Readings as (ts, entity, [meter], value FLOAT), one meter kind. The entity is
+    the first of the listed columns that is there.
 
     ``nanos=True`` is for files whose times are stored in nanoseconds: such a
     column is read as a number and becomes a time in microseconds. The filter
@@ -107,6 +112,7 @@ def read_readings(
         spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     df = spark.read.parquet(path)
     when = first_present(df.columns, times, "time column")
+    who = first_present(df.columns, [entity] if isinstance(entity, str) else entity, "entity column")
     if kind is not None:
         df = filter_meter(df, kind, meter)
     t = F.col(when)
@@ -115,7 +121,7 @@ def read_readings(
         t = F.lit("1970-01-01").cast("timestamp_ntz") + micros
     out = df.select(
         t.alias("ts"),
-        F.col(entity).cast("string").alias("entity"),
+        F.col(who).cast("string").alias("entity"),
         *([F.col(meter).cast("string").alias("meter")] if meter in df.columns else []),
         F.col(value).cast("float").alias("value"),
     )

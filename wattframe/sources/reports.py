@@ -7,10 +7,6 @@ from pyspark.sql import types as T
 
 from ..operators.split import NAMES
 
-# A split of at most so many entities is written as one JSON document.
-DOCUMENT_LIMIT = 100_000
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A report as CSV with a header."""
     df.write.mode(mode).option("header", True).csv(path)
@@ -30,12 +26,12 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_split(split: DataFrame, path: str, entity: str = "entity", limit: int = DOCUMENT_LIMIT) -> None:
-    """A split as JSON. Up to ``limit`` entities it is one document with a list
-    per part; a larger one is one line per entity, written in parallel."""
+def write_split(split: DataFrame, path: str, entity: str = "entity", document: bool = False) -> None:
+    """A split as JSON, one line per entity, written in parallel. With ``document``
+    it is one document with a list per part, made by one task: for splits of a
+    size that a person or a small program reads."""
     rows = split.select(F.col(entity).cast("string").alias("entity"), "split")
-    few = rows.limit(limit + 1).count() <= limit
-    if few:
+    if document:
         lists = [
             F.sort_array(F.collect_list(F.when(F.col("split") == s, F.col("entity")))).alias(s) for s in NAMES
         ]

@@ -45,6 +45,29 @@ def stream_resample(
     )
 
 
+def closing_bins(
+    df: DataFrame, emitted: DataFrame, freq: str = "3H", entity: str = "entity", ts: str = "ts", value: str = "value"
+) -> DataFrame:
+    """The bins that a stopped ``stream_resample`` has kept to itself: means of the
+    rows of ``df`` (the stream's input as a table) after the last bin emitted.
+
+    The watermark emits all bins up to a time, so only later rows are read. Rows
+    that came too late for their bin stay out of it, as in the stream.
+    """
+    step = duration(freq)
+    done = emitted.agg((F.max(ts) + F.expr(f"INTERVAL {step}")).alias("_done")).first()["_done"]
+    rest = event_time(df, ts)
+    if done is not None:
+        rest = rest.filter(F.col(ts) >= F.lit(done))
+    return (
+        rest.withColumn(value, reading(value))
+        .groupBy(entity, F.window(ts, step))
+        .agg(F.avg(value).alias(value))
+        .filter(F.col(value).isNotNull())
+        .select(entity, F.col("window.start").alias(ts), value)
+    )
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is there into Parquet files at ``path`` and stop."""
     query = (
