@@ -9,6 +9,10 @@ from .grouping import merge_single_rows
 from .quantiles import exact_quantiles
 
 
+#: Bins of a gap that are written out at a time.
+FILL_BLOCK = 8192
+
+
 def _interval(freq: str):
     n, unit = duration(freq).split()
     return F.expr(f"INTERVAL '{n}' {unit.upper()}")
@@ -25,16 +29,19 @@ def resample_mean(
     """Mean of the non-missing readings per (entity, bin) as FLOAT; bins
     without one are dropped. ``meter`` is the earliest non-missing one in the
     bin, where the column exists."""
-    has_meter = meter in df.columns
-    aggs = [F.avg("_v").cast("float").alias(value)]
     cols = [F.col(entity), bin_start(ts, freq).alias("_bin"), reading(value).alias("_v")]
-    if has_meter:
-        cols += [F.when(F.col(meter).isNotNull(), F.struct(F.col(ts), F.col(meter))).alias("_m")]
-        aggs += [F.min("_m").getField(meter).alias(meter)]
+    if meter not in df.columns:
+        mean = df.select(*cols).groupBy(entity, F.col("_bin").alias(ts)).agg(F.avg("_v").cast("float").alias(value))
+        return mean.filter(F.col(value).isNotNull())
+    # Per meter first, with numbers and times only, so that rows are hashed; what
+    # is left for the meter's name is a row per bin and meter.
+    rows = df.select(*cols, F.col(meter).alias("_m"), F.when(F.col(meter).isNotNull(), F.col(ts)).alias("_t"))
+    per = rows.groupBy(entity, "_bin", "_m").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"), F.min("_t").alias("_t"))
+    named = F.min(F.when(F.col("_t").isNotNull(), F.struct("_t", "_m"))).getField("_m")
+    mean = F.try_divide(F.sum("_s"), F.sum("_c")).cast("float")
     return (
-        df.select(*cols)
-        .groupBy(entity, F.col("_bin").alias(ts))
-        .agg(*aggs)
+        per.groupBy(entity, F.col("_bin").alias(ts))
+        .agg(mean.alias(value), named.alias(meter))
         .filter(F.col(value).isNotNull())
     )
 
@@ -51,7 +58,8 @@ def resample(
     an entity's first and last reading: an empty bin is missing, or 0 for sums.
 
     Readings are aggregated first. Each bin then emits itself and the empty
-    bins up to the next one, so no calendar table is built or joined.
+    bins up to the next one, so no calendar table is built or joined. A long gap
+    is written out in blocks of ``FILL_BLOCK`` bins, never as one array.
     """
     if how not in ("mean", "sum", "median"):
         raise ValueError(f"unknown aggregate {how!r}")
@@ -69,9 +77,14 @@ def resample(
         bins = rows.groupBy(*keys).agg(agg.alias("_out"))
     after = F.lead("_bin").over(Window.partitionBy(entity).orderBy("_bin"))
     fill = F.lit(0.0) if how == "sum" else F.lit(None).cast("double")
+    seconds = lambda interval: F.expr(f"cast(cast({interval} as interval second) as bigint)")
+    spaced = bins.withColumn("_next", after).withColumn("_step", step)
+    spaced = spaced.withColumn("_last", F.coalesce(F.floor(seconds("_next - _bin") / seconds("_step")).cast("long") - 1, F.lit(0).cast("long")))
+    blocks = spaced.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / FILL_BLOCK))))
+    place = F.sequence(F.col("_blk") * FILL_BLOCK, F.least(F.col("_last"), (F.col("_blk") + 1) * FILL_BLOCK - 1))
     return (
-        bins.withColumn("_next", F.coalesce(after, F.col("_bin") + step))
-        .withColumn(ts, F.explode(F.sequence(F.col("_bin"), F.col("_next") - step, step)))
+        blocks.withColumn("_i", F.explode(place))
+        .withColumn(ts, F.col("_bin") + F.col("_step") * F.col("_i"))
         .select(entity, ts, F.when(F.col(ts) == F.col("_bin"), F.col("_out")).otherwise(fill).alias(value))
     )
 
