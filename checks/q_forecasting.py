@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from wattframe.operators import series, split
 from wattframe.plans import forecast
+from wattframe.plans.anomaly import hour_of_week_score
 from wattframe.plans.history import history_vs_forecast
 
 from .fixtures import fixture
-from .q_quality import FEATURES_CTE, H, L, STRIDE, features
+from .q_quality import FEATURES_CTE, H, L, STRIDE, features, split_ctes
 from .q_series import STARTS_CTE
 from .registry import query, r
 
@@ -53,6 +54,20 @@ def k3(spark, d):
     return forecast.forecast_linear(df, split.split_entities(df), lags=(4, 8), ridge=0.1, tiebreak=["seq"])
 
 
+@query(
+    "K3_forecast_linear_one_lag",
+    f"select t.entity, t.split, t.ts, {r('t.value', 'y_true')}, {r('m.b + m.a * t.lagged', 'y_pred', 4)} from pairs t, line m",
+    *split_ctes("readings", 0.6, 0.2),
+    "lagging as (select *, lag(value, 4) over (partition by entity order by ts, seq) lagged from readings)",
+    "pairs as (select g.*, s.split from lagging g join split s on s.entity = g.entity where value is not null and lagged is not null)",
+    "line as (select regr_slope(value, lagged) a, regr_intercept(value, lagged) b from pairs where split = 'train')",
+)
+def k3_one_lag(spark, d):
+    df = fixture(spark, d, "readings")
+    out = forecast.forecast_linear(df, split.split_entities(df), lags=(4,), tiebreak=["seq"], use_calendar=False)
+    return out.withColumn("y_pred", F.round("y_pred", 4))
+
+
 def mean_of_lookback(x: np.ndarray) -> np.ndarray:
     return np.repeat(x[:, :, -1].astype("float64").mean(axis=1, keepdims=True), H, axis=1)
 
@@ -88,3 +103,16 @@ def _filled(src: str, agg: str, fill: str, kind: str) -> str:
 )
 def g6(spark, d):
     return history_vs_forecast(fixture(spark, d, "dirty"), naive(spark, d), "1D", "sum", 14)
+
+
+@query(
+    "X5_hour_of_week_score",
+    f"select d.entity, d.ts, d.seq, {r('d.value', 'value')}, d.meter, {r('p.expected', 'expected', 4)}, "
+    + r("case when p.n >= 2 and p.sd > 1e-9 then (d.value - p.expected) / p.sd end", "zscore", 4)
+    + " from dirty d join profiles p on p.entity = d.entity and p.dow = isodow(d.ts) and p.hr = extract(hour from d.ts)",
+    "profiles as (select entity, isodow(ts) dow, extract(hour from ts) hr, avg(value) expected, stddev_pop(value) sd, count(value) n "
+    "from dirty group by 1, 2, 3)",
+)
+def x5(spark, d):
+    scored = hour_of_week_score(fixture(spark, d, "dirty"))
+    return scored.withColumns({c: F.round(c, 4) for c in ("expected", "zscore")})

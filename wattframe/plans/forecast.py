@@ -83,9 +83,11 @@ def regression_table(
     return rows.withColumns(calendar(ts)).na.drop("any", subset=[value, *names])
 
 
-def fit_linear(table: DataFrame, lags: Sequence[int] = (24, 168), ridge: float = 0.0, value: str = "value") -> PipelineModel:
+def fit_linear(
+    table: DataFrame, lags: Sequence[int] = (24, 168), ridge: float = 0.0, value: str = "value", use_calendar: bool = True
+) -> PipelineModel:
     """One linear model over all entities of a ``regression_table``."""
-    inputs = [*CALENDAR, *[f"lag_{k}" for k in lags]]
+    inputs = [*(CALENDAR if use_calendar else ()), *[f"lag_{k}" for k in lags]]
     stages = [
         VectorAssembler(inputCols=inputs, outputCol="_x"),
         LinearRegression(featuresCol="_x", labelCol=value, predictionCol="y_pred", regParam=ridge, elasticNetParam=0.0),
@@ -102,12 +104,13 @@ def forecast_linear(
     ts: str = "ts",
     value: str = "value",
     tiebreak: Sequence[str] = (),
+    use_calendar: bool = True,
 ) -> DataFrame:
     """Fit on the train entities, predict all: entity, split, ts, y_true,
     y_pred. Lags no shorter than the horizon make it a direct forecast."""
     table = regression_table(df, lags, entity, ts, value, tiebreak)
     table = join_per_key(table, split, [entity], "inner")
-    model = fit_linear(table.filter(F.col("split") == "train"), lags, ridge, value)
+    model = fit_linear(table.filter(F.col("split") == "train"), lags, ridge, value, use_calendar)
     return model.transform(table).select(entity, "split", ts, F.col(value).alias("y_true"), "y_pred")
 
 
