@@ -16,11 +16,12 @@ pair has to pass all of them before it is verified:
   prefixes, nor in those of order 1, is not verified.
 
 Sets that are equal are one node. Proposals are worked off by stars: each
-posting list links its nodes to its least node, and what is verified becomes
-one component; then lists link one node per component, as long as that finds
-links; last, all pairs of a list that still lie in different components are
-verified, so no link between different texts is lost, and a group of thousands
-of near copies costs a number of verifications in proportion to its size.
+posting list links its nodes to one of them, and what is verified becomes one
+component; then lists link one node per component, other nodes each time, as
+long as that finds links; last, all pairs of a list that still lie in different components are
+verified, but for those whose parity bits (a lower bound of the difference of two
+sets) rule them out. So no link between different texts is lost, and a group of
+thousands of near copies costs verifications in proportion to its size.
 
 Counting shingles sends packed arrays, one row per batch and bucket, in which a
 batch names each shingle once: a shingle of a third of all documents costs its
@@ -44,6 +45,10 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
+#: Bytes of text whose prefix sums are held at a time (or one longer text).
+PIECE_BYTES = 1 << 20
+#: Columns of a set's parity bits.
+_BITS = tuple(f"b{i}" for i in range(8))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -76,7 +81,11 @@ def shingle_sets(docs: list[str], width: int = SHINGLE) -> list[np.ndarray]:
     Words are runs without ASCII white space, A-Z in lower case. A text with
     fewer words is one shingle; one without words has none.
     """
-    raw = [d.encode() for d in docs]
+    raw, total = [d.encode() for d in docs], 0
+    for i, r in enumerate(raw):
+        total += len(r)
+        if i and total > PIECE_BYTES:
+            return shingle_sets(docs[:i], width) + shingle_sets(docs[i:], width)
     joined = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
     space = _SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -209,9 +218,23 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 own = [i for i, (s, sig) in enumerate(zip(sets, piece.column("sig").to_pylist())) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sig]
                 node = piece.column("node").to_pylist()
                 k, seen = len(own), seen + 1
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seen] * k, pa.int64()), pa.array([node[i] for i in own], pa.int64()), pa.array([len(sets[i]) for i in own], pa.int32()), pa.array([sets[i].tobytes() for i in own], pa.binary())], ["batch", "node", "n", "tokens"])
+                bits = _parities([sets[i] for i in own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part << 32 | seen] * k, pa.int64()), pa.array([node[i] for i in own], pa.int64()), pa.array([len(sets[i]) for i in own], pa.int32()), pa.array([sets[i].tobytes() for i in own], pa.binary()), *(pa.array(b, pa.int64()) for b in bits.T)],
+                    ["batch", "node", "n", "tokens", *_BITS],
+                )
 
-    return joined.mapInArrow(run, "batch long, node long, n int, tokens binary")
+    return joined.mapInArrow(run, "batch long, node long, n int, tokens binary, " + ", ".join(f"{b} long" for b in _BITS))
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """64 bits in each of ``_BITS`` per set: whether an odd number of its shingles
+    falls on the bit. Two sets differ in as many shingles as bits, at least."""
+    size = 64 * len(_BITS)
+    odd = np.zeros((len(sets), size), np.uint8)
+    for row, s in zip(odd, sets):
+        row[:] = np.bincount((s >> _U(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
 
 
 def _prefixes(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -302,13 +325,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int, left: str, right: str) -> str:
-    """Size and place filter for two posting entries: their sizes fit, and after
-    the shared shingle enough may still come."""
+    """Size and place filter for two posting entries: their sizes fit, the shared
+    shingle lies in the shorter prefix that the smaller of two sets needs, and
+    after it enough may still come."""
     low, high = f"least({left}.n, {right}.n)", f"greatest({left}.n, {right}.n)"
-    rest = f"least({left}.n - {left}.at, {right}.n - {right}.at)"
-    both = f"least({left}.at, {right}.at)"
-    overlap = f"({both} + {rest})"
-    return f"100 * {low} >= {percent} * {high} and 100 * {overlap} >= {percent} * ({left}.n + {right}.n - {overlap})"
+    overlap = f"(least({left}.at, {right}.at) + least({left}.n - {left}.at, {right}.n - {right}.at))"
+    # The first shared shingle of a pair is within n - 2t / (1 + t) n of the smaller.
+    short = " and ".join(
+        f"({a}.n > {b}.n or {a}.at * {100 + percent} <= {a}.n * {100 - percent})" for a, b in ((left, right), (right, left))
+    )
+    return f"100 * {low} >= {percent} * {high} and {short} and 100 * {overlap} >= {percent} * ({left}.n + {right}.n - {overlap})"
 
 
 def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
@@ -320,7 +346,7 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int) ->
         if group is not None:
             entries = lists.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         last = step == star_rounds
-        found = _across(entries, percent) if last else _stars(entries, percent, best_only=step == 0)
+        found = _across(entries, sets, percent) if last else _stars(entries, percent, step)
         pairs = stored(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         new = stored(_verified(pairs, sets, percent), "verified")
         tried, links = tried.unionByName(pairs), links.unionByName(new)
@@ -334,32 +360,37 @@ def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int) ->
         step = step + 1 if fresh or step == 0 else star_rounds
 
 
-def _stars(entries: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of each list's least node with the least node of every other
-    component in it; with ``best_only`` each node keeps the partner that most
-    lists name."""
-    entries = entries.groupBy("token", "component").agg(F.min(F.struct("node", "n", "at")).alias("e"))
+def _stars(entries: DataFrame, percent: int, step: int) -> DataFrame:
+    """Pairs of each list's first node with the first node of every other component
+    in it; nodes come in another order in each step. At first each node keeps the
+    partner that most lists name."""
+    first = F.struct(F.xxhash64(F.lit(step), "node").alias("by"), "node", "n", "at")
+    entries = entries.groupBy("token", "component").agg(F.min(first).alias("e"))
     hubs = entries.groupBy("token").agg(F.min("e").alias("h"))
     found = entries.join(hubs, "token").where("e.node != h.node").where(_possible(percent, "e", "h"))
     found = found.select(F.col("h.node").alias("a"), F.col("e.node").alias("b"))
-    if not best_only:
+    if step:
         return found
     counted = found.groupBy("a", "b").agg(F.count("*").alias("c"))
     best = counted.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m"))
     return best.select((-F.col("m.a")).alias("a"), "b")
 
 
-def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's nodes that lie in different components."""
+def _across(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list's nodes that lie in different components and may be
+    similar: of those whose parity bits differ too often, none is."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    some = stored(entries.join(mixed, "token", "left_semi"), "open-lists")
+    some = entries.join(mixed, "token", "left_semi").join(sets.select("node", *_BITS).hint("merge"), "node")
+    some = stored(some, "open-lists")
     x, y = some.alias("x"), some.alias("y")
     apart = "x.token = y.token and x.node < y.node and x.component != y.component and "
-    return x.join(y, F.expr(apart + _possible(percent, "x", "y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS)
+    near = f" and ({differ}) * {100 + percent} <= {100 - percent} * (x.n + y.n)"
+    return x.join(y, F.expr(apart + _possible(percent, "x", "y") + near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, star_rounds: int = 3, buckets: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, star_rounds: int = 8, buckets: int | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``
     (least id it reaches by links, its own included), ``set_id`` (the same for
