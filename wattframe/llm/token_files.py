@@ -23,6 +23,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -37,14 +38,14 @@ from .common import pick, slices, stored, texts
 
 #: Keys of one part of the index.
 PART_KEYS = 50_000
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 # Heads: magic, version, bytes of an id, end id; magic, version, keys, levels.
 _SHARD_HEAD, _SHARD_START = "<4sHHI", 12
 _INDEX_HEAD, _INDEX_START = "<4sIII", 16
 _SHARD_MAGIC, _INDEX_MAGIC = b"TOKS", b"MPHI"
 _LOWER = bytes(b | 0x20 if 65 <= b <= 90 else b for b in range(256))
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_COMBINING = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]|<\\|")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_COMBINING = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
 _U = np.uint64
 
 
@@ -70,44 +71,47 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, chunks: set[bytes]) -> None:
         """Ids of chunks not met so far. Letters and the ASCII marks after them are
         split by the tokenizer in any case, so both parts are looked up."""
-        known, cut, ask = self.known, [], set()
+        known, before, cut, ask = self.known, self.before, [], set()
         for c in chunks:
-            text = c.decode()
-            word = text.rstrip(_MARKS)
-            if word != text and word.isalpha():
-                parts = word.encode(), text[len(word) :].encode()
-                cut.append((c, *parts))
-                ask.update(parts)
+            if (old := before.get(c)) is not None:
+                known[c] = old
+            elif c[-1] in _MARKS and ((word := c.rstrip(_MARKS)).isalpha() or word.decode().isalpha()):
+                marks = c[len(word) :]
+                cut.append((c, word, marks))
+                ask.add(word)
+                ask.add(marks)
             else:
                 ask.add(c)
         new = [c for c in ask if c not in known]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                known[c] = np.array(e.ids, self.kind).tobytes()
+        for k in range(0, len(new), 8192):
+            some = new[k : k + 8192]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+            ends = list(accumulate([len(x) * self.width for x in ids], initial=0))
+            known.update(zip(some, map(flat.__getitem__, map(slice, ends, ends[1:]))))
         for c, word, marks in cut:
             known[c] = known[word] + known[marks]
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
+        if len(self.known) > CACHE_ENTRIES:
+            # Chunks that come up again move from the earlier store to the new one.
+            self.known, self.before = {}, self.known
         # The tokenizer lowers letters itself; doing so before finds more chunks
         # again. Where marks combine with letters, or special tokens may be
         # written out, the order matters and the text stays as it is.
-        cut = [(d.encode() if _COMBINING.search(d) else d.encode().translate(_LOWER)).split() for d in docs]
+        cut = [(d.encode() if not d.isascii() and _COMBINING.search(d) or "<|" in d else d.encode().translate(_LOWER)).split() for d in docs]
         new: set[bytes] = set()
-        for c in cut:
-            new.update(c)
-        new.difference_update(known.keys())
+        new.update(*cut)
+        new.difference_update(self.known.keys())
         if new:
-            self.learn(list(new))
-        get = known.__getitem__
+            self.learn(new)
+        get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
