@@ -157,6 +157,20 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_neighbours_with_the_pivots_of_a_large_table(spark):
+    # As many pivots as 600,000 vectors have: a fixed effort would see a quarter of the table.
+    x = np.random.default_rng(4).normal(size=(8000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    recall = lambda got: np.mean([j in near[q] for q, j in zip(got.query_id, got.vec_id)])
+    near = {q: set(np.argsort(-np.where(np.arange(len(x)) == q, -9, x @ x[q]))[:20].tolist()) for q in range(0, len(x), 200)}
+    got = neighbours.nearest(table, every=200, pivots=775).toPandas()
+    assert len(got) == 800 and recall(got) >= 0.9
+    # Whatever effort it begins with, the recall is measured and reached.
+    low = neighbours.nearest(table, every=200, visited=2, rerank=25).toPandas()
+    assert len(low) == 800 and recall(low) >= 0.9
+
+
 # -- Jaccard join --------------------------------------------------------------------
 
 

@@ -11,6 +11,11 @@ For the largest inner product, vectors get one more component that gives all of
 them the same norm; a query has 0 there. Then the nearest is the one with the
 largest inner product, and orders of pivots mean the same for both.
 
+The effort grows with the index: a query's files hold a smaller part of a larger
+table, so ``visited`` and ``rerank`` follow from the number of pivots. What the
+search then finds for a sample of queries is held against an exact search, and
+the effort doubles, up to the whole table, until the recall is safe.
+
 Equal vectors are one entry of the index and one query, whatever their number.
 Files of many entries or readers are cut into parts of bounded size.
 """
@@ -30,6 +35,10 @@ from .common import pick, stored
 PART_ROWS = 4096
 #: Queries that an exact search takes at once.
 EXACT_QUERIES = 2048
+#: Queries that recall is measured on, and standard errors that it must lie above what is asked for.
+SAMPLE, ERRORS = 256, 3.0
+#: ``visited`` and ``rerank`` for an index of 100 pivots, that is of 10,000 vectors.
+VISITED, RERANK = 32, 300
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -100,12 +109,17 @@ def _search(entries: DataFrame, readers: DataFrame, n_pivots: int, posted: int,
         uid, rep = left["uid"].to_numpy(), left["rep"].to_numpy()
         length = order.shape[1]
         # Place of each pivot in each entry's order, ``length`` where it is cut off.
-        place = np.full((n_pivots, len(x)), length, np.uint8)
-        place[order.T, np.arange(len(x))] = np.arange(length, dtype=np.uint8)[:, None]
-        depth = np.arange(length, dtype=np.uint8)[:, None]
+        kind = np.uint8 if length < 256 else np.uint16
+        place = np.full((n_pivots, len(x)), length, kind)
+        place[order.T, np.arange(len(x))] = np.arange(length, dtype=kind)[:, None]
+        depth = np.arange(length, dtype=kind)[:, None]
+        files = order[:, :posted]
+        turns = np.empty(n_pivots, np.int32)
         rows = []
         for quid, vector, own, turn in zip(right["quid"], right["vector"], right["order"], right["turn"]):
-            at = np.flatnonzero((place[own[:turn]] >= posted).all(0))  # not in a file read before
+            turns[:] = length
+            turns[own] = np.arange(length)
+            at = np.flatnonzero(turns[files].min(1) == turn)  # not in a file read before
             if len(at) > rerank:
                 # Footrule, less what is the same for all: the more of the order is
                 # shared, and the earlier, the nearer.
@@ -162,6 +176,26 @@ def _merged(found: DataFrame, keep: int) -> DataFrame:
     return found.groupBy("quid").applyInPandas(run, "quid long, uid long, score double")
 
 
+def effort(pivots: int) -> tuple[int, int]:
+    """``visited`` and ``rerank`` that an index of so many pivots begins with."""
+    grown = max(1.0, np.sqrt(pivots / 100))
+    return min(pivots, round(VISITED * grown)), round(RERANK * grown)
+
+
+def _recall(truth: dict[int, set[int]], found: DataFrame, whole: bool) -> tuple[float, float]:
+    """Mean share of the nearest classes in ``truth`` that ``found`` has, over the
+    queries that are in both, and its standard error (0 if these are all queries)."""
+    quids = found.sparkSession.createDataFrame([(q,) for q in truth], "quid long")
+    hits: dict[int, int] = {}
+    # Bounded: ``SAMPLE`` queries.
+    for r in found.join(F.broadcast(quids), "quid").select("quid", "uid").collect():
+        hits[r["quid"]] = hits.get(r["quid"], 0) + (r["uid"] in truth[r["quid"]])
+    share = np.array([hits[q] / len(truth[q]) for q in hits if truth[q]])
+    if not len(share):
+        return 1.0, 0.0
+    return float(share.mean()), 0.0 if whole else float(share.std() / np.sqrt(len(share)))
+
+
 def nearest(
     vectors: DataFrame,
     k: int = 20,
@@ -169,17 +203,22 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     pivots: int | None = None,
-    length: int = 48,
+    length: int | None = None,
     posted: int = 8,
-    visited: int = 32,
-    rerank: int = 300,
+    visited: int | None = None,
+    rerank: int | None = None,
+    least_recall: float = 0.9,
 ) -> DataFrame:
     """The ``k`` nearest rows, by inner product, that the index finds for each row
     whose id is divisible by ``every``: ``query_id``, ``rank`` from 1, ``vec_id``,
     ``score``. A row is not its own neighbour. Ties go to the smaller id.
 
     Pivots are the vectors that come first by a hash: by default as many as the
-    root of the number of distinct vectors, between 32 and 2048. A query for which
+    root of the number of distinct vectors, between 32 and 2048. ``visited`` and
+    ``rerank`` are what ``effort`` says, or the caller; they double until the recall
+    on a sample of queries is ``ERRORS`` standard errors above ``least_recall`` (0: no
+    measuring), at last to an exact search. ``length`` is at least ``visited``, by
+    default half as much again. A query for which
     the files hold fewer than ``k`` candidates is answered by an exact search, so
     each gets ``k`` neighbours, or all there are. Rows that ``usable`` leaves out
     take no part; a repeated row counts once; an empty table gives an empty one.
@@ -201,12 +240,32 @@ def nearest(
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     more = np.sqrt(np.maximum(norm2 - (raw * raw).sum(1), 0))
     table = np.column_stack([raw, more])
-    length = min(length, len(table))
-    entries = stored(_orders(classes.select("uid", "rep", "vector"), table, norm2, length, query=False), "vector-orders")
-    readers = _orders(asked.select("uid", "vector"), table, norm2, length, query=True)
-    found = stored(_merged(_search(entries, readers, len(table), min(posted, length), min(visited, length), rerank, keep), keep), "vector-found")
-    enough = found.join(classes.select("uid", F.size("ids").alias("members")), "uid").groupBy("quid").agg(F.sum("members").alias("members"))
-    enough = enough.where(F.col("members") >= min(keep, total)).select("quid")
+    begin = effort(len(table))
+    visited, rerank = visited or begin[0], rerank or begin[1]
+    truth: dict[int, set[int]] | None = None
+    while True:
+        visited = min(visited, len(table))
+        deep = min(max(visited, length or visited * 3 // 2), len(table))
+        entries = stored(_orders(classes.select("uid", "rep", "vector"), table, norm2, deep, query=False), "vector-orders")
+        readers = _orders(asked.select("uid", "vector"), table, norm2, deep, query=True)
+        found = stored(_merged(_search(entries, readers, len(table), min(posted, deep), visited, rerank, keep), keep), "vector-found")
+        enough = found.join(classes.select("uid", F.size("ids").alias("members")), "uid").groupBy("quid").agg(F.sum("members").alias("members"))
+        enough = enough.where(F.col("members") >= min(keep, total)).select("quid")
+        if not least_recall or (visited == len(table) and rerank >= size):
+            break  # every entry has been looked at, or nobody asks
+        if truth is None:
+            some = asked.select(F.col("uid").alias("quid"), "vector").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE)
+            some = stored(some, "vector-sample")
+            truth = {r["quid"]: set() for r in some.select("quid").collect()}
+            for r in _merged(_exact(classes, some, keep), keep).where("quid <> uid").collect():
+                truth[r["quid"]].add(r["uid"])
+        # The others, with too few candidates, are answered by the exact search.
+        mean, error = _recall(truth, found.join(enough, "quid", "left_semi"), len(truth) < SAMPLE)
+        if mean - ERRORS * error >= least_recall:
+            break
+        visited, rerank = 2 * visited, 2 * rerank
+        if visited >= len(table):
+            visited, rerank = len(table), size
     short = asked.select(F.col("uid").alias("quid"), "vector").join(enough, "quid", "left_anti")
     rest = _merged(_exact(classes, short, keep), keep)
     found = found.join(enough, "quid", "left_semi").unionByName(rest)
