@@ -266,6 +266,13 @@ def test_token_files(docs_of):
     assert token_files.token_files(docs_of([]), WORD_BPE).count() == 0
 
 
+def test_words_that_end_in_a_mark_once_normalized():
+    library, coder = Tokenizer.from_file(WORD_BPE), token_files.Encoder(WORD_BPE)
+    words = ["BİRİNCİ", "İKİ", "\u09ac\u09df", "\u0958", "\ufb2a", "Été", "straße", "ŒUVRE", "ǅ", "слово", "ΛΌΓΟΣ", "漢字", "\U0002ebf0"]
+    for text in [w + m for w in words for m in (".", ",", "!!", '")', "")]:
+        assert coder.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, coder.kind).tobytes()], text
+
+
 def test_perfect_hash_and_unknown_keys(spark):
     keys = token_files.key_hashes(pd.Series(range(5000)), np.zeros(5000))
     hashed = token_files.PerfectHash.build(keys)

@@ -46,6 +46,8 @@ _SHARD_MAGIC, _INDEX_MAGIC = b"TOKS", b"MPHI"
 _LOWER = bytes(b | 0x20 if 65 <= b <= 90 else b for b in range(256))
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _COMBINING = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
+# Latin letters that stay letters under NFC and lower case: without U+0130.
+_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
 _U = np.uint64
 
 
@@ -74,13 +76,15 @@ class Encoder:
         self.before: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Ids of chunks not met so far. Letters and the ASCII marks after them are
-        split by the tokenizer in any case, so both parts are looked up."""
+        """Ids of chunks not met so far. Latin letters and the ASCII marks after them
+        are split by the tokenizer in any case, so both parts are looked up. Other
+        words may end in a combining mark once normalized, which belongs to the
+        marks then; these chunks stay whole."""
         known, before, cut, ask = self.known, self.before, [], set()
         for c in chunks:
             if (old := before.get(c)) is not None:
                 known[c] = old
-            elif c[-1] in _MARKS and ((word := c.rstrip(_MARKS)).isalpha() or word.decode().isalpha()):
+            elif c[-1] in _MARKS and ((word := c.rstrip(_MARKS)).isalpha() or _LETTERS.fullmatch(word.decode())):
                 marks = c[len(word) :]
                 cut.append((c, word, marks))
                 ask.add(word)
