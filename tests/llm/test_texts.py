@@ -11,7 +11,7 @@ import tiktoken
 
 from wattframe.llm import toxicity
 from wattframe.llm.bpe import Vocabulary, bpe_digests
-from wattframe.llm.licenses import BASE, BadExpression, evaluate, scan_licenses
+from wattframe.llm.licenses import BASE, BadExpression, evaluate, longest_expression, scan_licenses
 from wattframe.llm.queries import BYTE_BPE
 
 EDGE = [(1, None), (2, ""), (3, "x" * 3000 + " " + "ab" * 500), (4, "a b"), (4, "a b"), (None, " \n "), (5, "Ça va ?  Bien.\n\n fin "), (6, "it's 3 ½ ² 漢字😀!!")]
@@ -79,6 +79,28 @@ def test_license_expressions():
             evaluate(bad, permit)
 
 
+def test_long_license_expressions_are_read_to_their_end(docs_of):
+    permit = frozenset({"mit", "apache"})
+    words = ["mit", "gpl-2.0", "and", "or", "with", "(", ")"]
+    rng = random.Random(7)
+    for _ in range(3000):
+        tokens = [rng.choice(words) for _ in range(rng.randint(0, 9))]
+        best = None
+        for n in range(1, len(tokens) + 1):
+            try:
+                best = evaluate(" ".join(tokens[:n]), permit)
+            except BadExpression:
+                pass
+        assert longest_expression(" ".join(tokens), permit) == best, tokens
+    long = " AND ".join(["MIT"] * 200 + ["GPL-3.0-only"])
+    rows = [(1, f"SPDX-License-Identifier: {long}\nMIT"), (2, f"SPDX-License-Identifier: MIT SPDX-License-Identifier: {long} */ or MIT")]
+    one, two = sorted(scan_licenses(docs_of(rows)).collect(), key=lambda r: r.doc_id)
+    assert (one.labels, one.permitted, one.expressions) == ("gpl,mit", False, ["mit mit and" + " mit and" * 198 + " gpl-3.0-only and"])
+    assert two.expressions == ["mit", *one.expressions] and two.permitted is False
+    # In proportion to its length.
+    assert len(longest_expression("mit and " * 200_000 + "gpl-3.0", permit)[0]) == 200_001
+
+
 @pytest.fixture(scope="module")
 def labelled(spark, docs_of):
     rng = random.Random(5)

@@ -47,7 +47,8 @@ FAMILIES = ("mit", "apache", "agpl", "lgpl", "gpl", "mpl", "bsd", "isc", "cc", "
 #: Licences that an expression may rely on, by family.
 PERMITTED = ("mit", "apache", "bsd", "isc", "cc", "unlicense", "boost", "bsl")
 _TAG = "spdx license identifier"
-_EXPRESSION = re.compile(r"spdx-license-identifier\s*:[ \t]*([a-z0-9.+\-() \t]{1,400})")
+_TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*")
+_EXPRESSION = re.compile(r"[a-z0-9.+\-() \t]*")
 _TOKEN = re.compile(r"\(|\)|[a-z0-9.+\-]+")
 _RANK = {"or": 1, "and": 2, "with": 3}
 # Letters and digits as they are, A-Z in lower case, bytes of other characters, and
@@ -72,17 +73,22 @@ def evaluate(expression: str, permitted: frozenset[str]) -> tuple[list[str], boo
     enough for ``or``, both are needed for ``and``; an exception leaves its
     licence as it is.
     """
-    values: list[tuple[list[str], bool, str]] = []
+    # Where its names begin, and whether what is permitted is enough, for each value.
+    values: list[tuple[int, bool]] = []
+    names: list[str] = []
+    postfix: list[str] = []
     waiting: list[str] = []
 
     def apply(op: str) -> None:
         if len(values) < 2:
             raise BadExpression(expression)
-        (rn, rb, rt), (ln, lb, lt) = values.pop(), values.pop()
+        (right, rb), (left, lb) = values.pop(), values.pop()
+        postfix.append(op)
         if op == "with":
-            values.append((ln, lb, f"{lt} {rt} with"))
+            del names[right:]
+            values.append((left, lb))
         else:
-            values.append((ln + rn, lb and rb if op == "and" else lb or rb, f"{lt} {rt} {op}"))
+            values.append((left, lb and rb if op == "and" else lb or rb))
 
     operand = True  # what may come next
     for token in _TOKEN.findall(expression):
@@ -109,7 +115,9 @@ def evaluate(expression: str, permitted: frozenset[str]) -> tuple[list[str], boo
             if not operand:
                 raise BadExpression(expression)
             name = family(token)
-            values.append(([name], name in permitted, token))
+            values.append((len(names), name in permitted))
+            names.append(name)
+            postfix.append(token)
             operand = False
     while waiting:
         op = waiting.pop()
@@ -118,19 +126,36 @@ def evaluate(expression: str, permitted: frozenset[str]) -> tuple[list[str], boo
         apply(op)
     if len(values) != 1:
         raise BadExpression(expression)
-    return values[0]
+    return names, values[0][1], " ".join(postfix)
 
 
 def longest_expression(text: str, permitted: frozenset[str]) -> tuple[list[str], bool, str] | None:
     """The longest beginning of ``text`` that is an expression: comments may follow
     a tag on its line."""
-    tokens = _TOKEN.findall(text)[:64]
-    for n in range(len(tokens), 0, -1):
-        try:
-            return evaluate(" ".join(tokens[:n]), permitted)
-        except BadExpression:
-            continue
-    return None
+    tokens = _TOKEN.findall(text)
+    whole, depth, operand = 0, 0, True
+    for n, token in enumerate(tokens, 1):
+        if (token == "(" or token not in _RANK and token != ")") != operand:
+            break  # nothing that begins like this is an expression
+        if token == "(":
+            depth += 1
+        elif token == ")":
+            depth -= 1
+        else:
+            operand = token in _RANK
+        if depth < 0:
+            break
+        if not depth and not operand:
+            whole = n
+    return evaluate(" ".join(tokens[:whole]), permitted) if whole else None
+
+
+def _behind_tags(text: str) -> Iterator[str]:
+    """What stands behind each tag on its line, up to a character that no expression
+    has, or to the next tag."""
+    tags = list(_TAGGED.finditer(text))
+    for m, following in zip(tags, [*(t.start() for t in tags[1:]), len(text)]):
+        yield _EXPRESSION.match(text, m.end(), following)[0]
 
 
 @lru_cache(maxsize=4)
@@ -162,8 +187,8 @@ def scan_text(text: str, machine: ahocorasick.Automaton, permitted: frozenset[st
             last = start if last is None else max(last, start)
     expressions, permit = [], None
     if tagged:
-        for m in _EXPRESSION.finditer(_lower_ascii(text)):
-            if (e := longest_expression(m[1], permitted)) is not None:
+        for behind in _behind_tags(_lower_ascii(text)):
+            if (e := longest_expression(behind, permitted)) is not None:
                 labels.update(e[0])
                 expressions.append(e[2])
                 permit = e[1] if permit is None else permit and e[1]
