@@ -143,6 +143,23 @@ def test_toxicity_without_labels(spark, docs_of, labelled):
     assert toxicity.toxicity_report(docs_of([]), labelled[1]).count() == 0
 
 
+def test_toxicity_keeps_the_share_of_all_labels(spark, docs_of):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(2000):
+        bad = i % 10 == 0
+        words = [f"word{rng.randrange(20)}" for _ in range(8)] + ["grobnik"] * (rng.random() < (0.6 if bad else 0.03))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    docs, labels = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    full, cut = toxicity.fit(docs, labels), toxicity.fit(docs, labels, max_toxic=150, max_other=150)
+    sample = toxicity.training_sample(docs, labels, max_toxic=150, max_other=150).toPandas()
+    assert sample.groupby("toxic").size().tolist() == [150, 150]
+    everyone = toxicity.training_sample(docs, labels).toPandas()
+    assert np.allclose(sample.groupby("toxic")["weight"].sum(), everyone.groupby("toxic").size())
+    assert (everyone.weight == 1).all() and abs(full.bias - cut.bias) < 0.5, (full.bias, cut.bias)
+
+
 def test_label_model_recovers_rates_and_correlation():
     rng = np.random.default_rng(1)
     y = rng.random(6000) < 0.3

@@ -11,8 +11,10 @@ The posterior of the hidden class then is the target of a linear classifier
 over words and stems, which alone scores texts.
 
 Fitting uses a bounded sample of labelled rows, at most ``max_toxic`` and
-``max_other`` of the two classes, taken in the order of a hash of the id. Scoring reads every text in
-one pass without a shuffle.
+``max_other`` of the two classes, taken in the order of a hash of the id; a row
+weighs as many labelled rows of its class as it stands for, so the share of the
+classes is that of all labels. Scoring reads every text in one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -103,28 +105,31 @@ def _telling_terms(sample: DataFrame, most: int) -> list[bytes]:
     return [bytes(r["term"]) for r in top.orderBy(F.desc("ratio"), "term").limit(most).collect()]
 
 
-def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hidden-class model of 0/1 votes (documents by voters).
 
     Returns the posterior of each document, the rate at which each voter fires
     in class 1 and 0 (2 by voters), and the correlation of voters within the
-    classes. ``start`` is a first guess of the posterior. The last voter is the
-    annotator, who is trusted: wrong on few documents, and never discounted.
+    classes. ``start`` is a first guess of the posterior, ``weight`` what a document
+    counts for. The last voter is the annotator, who is trusted: wrong on few
+    documents, and never discounted.
     """
     n, v = votes.shape
+    weight = np.ones(n) if weight is None else weight
+    total, mean = weight.sum(), np.average(votes, axis=0, weights=weight)
     post, keep = start.copy(), np.ones(v)
     corr = np.eye(v)
     rates = np.full((2, v), 0.5)
     for step in range(rounds):
-        both = np.stack([post, 1 - post])
-        rates = (both @ votes + 0.5 * votes.mean(0)) / (both.sum(1)[:, None] + 0.5)
+        both = np.stack([post, 1 - post]) * weight
+        rates = (both @ votes + 0.5 * mean) / (both.sum(1)[:, None] + 0.5)
         rates = np.clip(rates, 1e-3, 1 - 1e-3)
         rates[:, -1] = max(rates[0, -1], ANNOTATOR[0]), min(rates[1, -1], ANNOTATOR[1])
         if step >= 3:
             # What is left of a vote once the class is known.
             rest = votes - post[:, None] * rates[0] - (1 - post)[:, None] * rates[1]
-            sd = np.maximum(np.sqrt((rest**2).mean(0)), 1e-6)
-            corr = (rest.T @ rest) / n / np.outer(sd, sd)
+            sd = np.maximum(np.sqrt(weight @ rest**2 / total), 1e-6)
+            corr = (rest.T @ (weight[:, None] * rest)) / total / np.outer(sd, sd)
             keep = 1 / (1 + np.clip(corr - np.eye(v), 0, None).sum(0))
             keep[-1] = 1
         on, off = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
@@ -135,18 +140,19 @@ def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int
     return post, rates, corr
 
 
-def _fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, l2: float = 0.1, passes: int = 40) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets over sparse 0/1 rows: Newton steps on
-    one weight after the other."""
+def _fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, l2: float = 0.1, passes: int = 40, count: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets over sparse 0/1 rows, each counted
+    ``count`` times: Newton steps on one weight after the other."""
     n = len(rows)
+    count = np.ones(n) if count is None else count
     doc = np.repeat(np.arange(n), [len(r) for r in rows])
     col = np.concatenate(rows)
     order = np.argsort(col, kind="stable")
     doc, col = doc[order], col[order]
     at = np.searchsorted(col, np.arange(size + 1))
-    share = float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+    share = float(np.clip(np.average(target, weights=count), 1e-3, 1 - 1e-3))
     # The rarer class counts more, though not as much as the other altogether.
-    weight = target * np.sqrt(0.5 / share) + (1 - target) * np.sqrt(0.5 / (1 - share))
+    weight = count * (target * np.sqrt(0.5 / share) + (1 - target) * np.sqrt(0.5 / (1 - share)))
     w, b = np.zeros(size), float(np.log(share / (1 - share)))
     z = np.full(n, b)
     for _ in range(passes):
@@ -155,13 +161,13 @@ def _fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, l2: float
             d = doc[at[j] : at[j + 1]]
             p = 1 / (1 + np.exp(-np.clip(z[d], -30, 30)))
             g = (weight[d] * (p - target[d])).sum() + l2 * w[j]
-            step = float(np.clip(-g / ((weight[d] * p * (1 - p)).sum() + l2 + 1e-3 * len(d)), -1, 1))
+            step = float(np.clip(-g / ((weight[d] * p * (1 - p)).sum() + l2 + 1e-3 * count[d].sum()), -1, 1))
             w[j] += step
             z[d] += step
             most = max(most, abs(step))
         for _ in range(3):
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            step = float(np.clip(-(weight * (p - target)).sum() / ((weight * p * (1 - p)).sum() + 1e-3 * n), -1, 1))
+            step = float(np.clip(-(weight * (p - target)).sum() / ((weight * p * (1 - p)).sum() + 1e-3 * count.sum()), -1, 1))
             b += step
             z += step
         if most < 1e-2:
@@ -183,18 +189,24 @@ def training_sample(
     max_toxic: int = MAX_TOXIC,
     max_other: int = MAX_OTHER,
 ) -> DataFrame:
-    """``id``, ``text``, ``toxic`` of labelled documents in the training fold.
+    """``id``, ``text``, ``toxic`` and ``weight`` of labelled documents in the training
+    fold.
 
     At most ``max_toxic`` and ``max_other`` ids of the two classes, in the order
-    of a hash of the id, so the ids can be broadcast. Labels that contradict each
+    of a hash of the id, so the ids can be broadcast. ``weight`` is the number of
+    labelled ids of the class for each one taken. Labels that contradict each
     other for one id count by majority; rows without id or label are left out; of
     rows that repeat an id the greatest text counts, and a null text is empty.
     """
     known = pick(labels, id=id_col, toxic=label_col).where("id is not null and toxic is not null").where(in_training_fold("id"))
     known = known.groupBy("id").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"))
-    ids = [known.where(F.col("toxic") == x).orderBy(F.xxhash64("id"), "id").limit(k) for x, k in ((1, max_toxic), (0, max_other))]
+    n = known.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
+    ids = [
+        known.where(F.col("toxic") == x).orderBy(F.xxhash64("id"), "id").limit(k).withColumn("weight", F.lit(max(1.0, all_ / max(k, 1))))
+        for x, k, all_ in ((1, max_toxic, n[0]), (0, max_other, n[1]))
+    ]
     found = pick(docs, id=id_col, text=text_col).join(F.broadcast(ids[0].unionByName(ids[1])), "id")
-    return found.groupBy("id", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    return found.groupBy("id", "toxic", "weight").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def fit(
@@ -245,17 +257,18 @@ def _fit(sample: DataFrame, terms: int, voters: int) -> Model:
                     v[-1] = x
                     got.append(np.array(sorted(cols), "<i4").tobytes())
                     votes.append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(votes, pa.binary())], ["cols", "votes"])
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), pa.array(votes, pa.binary()), part.column("weight")], ["cols", "votes", "weight"])
 
     # Bounded: the sample's rows, each with at most ``terms`` columns.
-    seen = sample.mapInArrow(run, "cols binary, votes binary").collect()
+    seen = sample.mapInArrow(run, "cols binary, votes binary, weight double").collect()
     rows = [np.frombuffer(r["cols"], "<i4").astype(np.int64) for r in seen]
     votes = np.array([np.frombuffer(r["votes"], np.uint8) for r in seen], float)
     gold = votes[:, -1]
-    prior = float(np.clip(gold.mean(), 0.01, 0.99))
+    count = np.array([r["weight"] for r in seen])
+    prior = float(np.clip(np.average(gold, weights=count), 0.01, 0.99))
     start = np.clip(0.8 * gold + 0.1 * np.minimum(votes[:, :-1].sum(1), 2) / 2 + 0.05, 0.02, 0.98)
-    post, rates, corr = label_model(votes, prior, start)
-    weights, bias = _fit_linear(rows, len(index), post)
+    post, rates, corr = label_model(votes, prior, start, weight=count)
+    weights, bias = _fit_linear(rows, len(index), post, count=count)
     pairs = np.argwhere(np.triu(corr, 1) > 0.2)
     return Model(
         {t: float(weights[i]) for t, i in index.items() if weights[i]},
