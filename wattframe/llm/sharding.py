@@ -2,7 +2,8 @@
 
 A record's hash gives one of thousands of virtual slots, for ever. What moves
 is the map from slots to shards, a small versioned table: it is made from the
-bytes per slot, and edited when shards are added or have drifted apart.
+bytes per slot, and edited when a shard is added; nothing moves slots between
+shards that have drifted apart.
 Everything is DataFrame or SQL functions; what is brought together in one row is
 one entry per virtual slot, whose number is fixed.
 """
