@@ -3,8 +3,8 @@
 ``register(spark)``, then ``df.write.format("warc").save(path)`` and
 ``spark.read.format("warc").load(path)``.
 
-Reading plans one partition per archive, or per range of records where an
-archive has an index beside it. Filters on record type and on headers are pushed
+Reading plans one partition per archive; an archive is never cut, whatever its
+size. Filters on record type and on headers are pushed
 down: a record's header is parsed first, and the payload of a record that is
 not wanted, or of any record if the schema asks for no payload, is neither read
 nor decoded; its length in the header says where the next record begins.
