@@ -11,12 +11,15 @@ from .bpe import bpe_digests
 from .exact_dedup import duplicate_report
 from .jaccard_join import similar_documents
 from .licenses import scan_licenses
+from .manifest import document_manifest
 from .mixing import mixture
 from .neighbours import nearest
+from .prefix_bpe import prefix_digests
 from .sharding import shard_documents
 from .token_files import token_files
 from .toxicity import toxicity_report
 from .warc import archive_pages
+from .whitening import whiten
 
 #: Tokenizer files; every executor has them at the same place.
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -73,12 +76,76 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
+def _encoded(column: str) -> str:
+    return f"coalesce(strlen(cast({column} as varchar)) || ':' || cast({column} as varchar), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_encoded, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 of the decimal id: the low bits of its bytes, folded eight times each.
+_TAMPERED = """
+    crc as (
+        select doc_id, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+               lambda r, c: list_reduce(list_prepend(xor(r, c), list_transform(range(8), lambda b: b::ubigint)),
+                         lambda x, b: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)) as r
+        from (select distinct doc_id from documents where doc_id is not null))"""
+
 SQL: dict[str, str] = {
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n from pages),
         g as (select *, max(page_id) over (partition by t) as m, n >= 1000 and page_id <> max(page_id) over (partition by t) as again from p)
         select page_id, n as payload_bytes, sha1(t) as payload_digest,
                case when again then 'revisit' else 'response' end as record_type, case when again then m end as refers_to from g""",
+    "op13_manifest": f"""
+        with recursive {_TAMPERED.strip()},
+        leaf as (
+            select d.doc_id, lang, {_leaf("n_chars")} as leaf,
+                   case when xor(r, 4294967295::ubigint) % 7 = 0 then {_leaf("n_chars + 1")} else {_leaf("n_chars")} end as claim
+            from documents d left join (select doc_id as crc_id, r from crc) on d.doc_id = crc_id),
+        placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx from leaf),
+        tree as (
+            select lang, 0 as level, idx, leaf as h from placed
+            union all
+            select lang, level + 1, idx // 2, sha256(string_agg(h, '' order by idx))
+            from (select *, count(*) over (partition by lang) as c from tree) where c > 1 group by lang, level, idx // 2),
+        subroot as (select lang, h, row_number() over (order by lang nulls first) - 1 as idx from (select lang, arg_max(h, level) as h from tree group by lang)),
+        crown as (
+            select 0 as level, idx, h from subroot
+            union all
+            select level + 1, idx // 2, sha256(string_agg(h, '' order by idx))
+            from (select *, count(*) over () as c from crown) where c > 1 group by level, idx // 2),
+        tree_nodes as (select * from tree), crown_nodes as (select * from crown),
+        ends as (
+            select s.lang, s.idx as seat, t.depth, (select max(level) from crown) as top, s.h as subroot, (select arg_max(h, level) from crown) as root
+            from subroot s join (select lang, max(level) as depth from tree group by lang) t on s.lang is not distinct from t.lang),
+        climb as (
+            select p.doc_id, p.leaf, e.lang, 0 as level, case when e.depth = 0 then e.seat else p.idx end as idx, p.claim as folded, '' as proof,
+                   e.seat, e.depth, e.top, e.subroot, e.root
+            from placed p join ends e on p.lang is not distinct from e.lang
+            union all
+            select c.doc_id, c.leaf, c.lang, c.level + 1, case when c.level + 1 = c.depth then c.seat else c.idx // 2 end,
+                   sha256(case when coalesce(n.h, k.h) is null then c.folded when c.idx % 2 = 1 then coalesce(n.h, k.h) || c.folded else c.folded || coalesce(n.h, k.h) end),
+                   c.proof || coalesce(n.h, k.h, ''), c.seat, c.depth, c.top, c.subroot, c.root
+            from climb c
+            left join tree_nodes n on c.level < c.depth and n.lang is not distinct from c.lang and n.level = c.level and n.idx = xor(c.idx, 1)
+            left join crown_nodes k on c.level >= c.depth and k.level = c.level - c.depth and k.idx = xor(c.idx, 1)
+            where c.level < c.depth + c.top)
+        select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+        from climb where level = depth + top""",
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
