@@ -88,9 +88,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in sources})
 
 
-def sql_prelude() -> str:
+def sql_prelude(recursive: bool = False) -> str:
     """The same tables as common table expressions for DuckDB."""
     parts = []
     for name, (sources, text) in TEXT.items():
         parts.append(f"{name} as ({text.format(**{t: t for t in sources})})")
-    return "with " + ",\n".join(parts)
+    return ("with recursive " if recursive else "with ") + ",\n".join(parts)

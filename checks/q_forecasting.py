@@ -68,6 +68,78 @@ def k3_one_lag(spark, d):
     return out.withColumn("y_pred", F.round("y_pred", 4))
 
 
+# Two lags: the plane through the covariances.
+def _lagged(source: str) -> tuple[str, str]:
+    return (
+        f"lagging as (select *, lag(value, 4) over w x1, lag(value, 8) over w x2 from {source} window w as (partition by entity order by ts, seq))",
+        "known as (select * from lagging where value is not null and x1 is not null and x2 is not null)",
+    )
+
+
+def _plane(source: str, key: str = "") -> str:
+    """Two slopes and a bias over the rows of ``source``, per ``key`` if there is one."""
+    det = "nullif(var_pop(x1) * var_pop(x2) - covar_pop(x1, x2) ** 2, 0)"
+    b1 = f"(covar_pop(x1, value) * var_pop(x2) - covar_pop(x2, value) * covar_pop(x1, x2)) / {det} b1"
+    b2 = f"(covar_pop(x2, value) * var_pop(x1) - covar_pop(x1, value) * covar_pop(x1, x2)) / {det} b2"
+    means = f"select {key + ', ' if key else ''}{b1}, {b2}, avg(value) my, avg(x1) m1, avg(x2) m2 from {source}"
+    return f"plane as (select *, my - b1 * m1 - b2 * m2 b0 from ({means}{' group by ' + key if key else ''}))"
+
+
+def _walk(source: str, join: str) -> tuple[str, str]:
+    return (
+        f"tails as (select entity, max(ts) last_ts, list(value order by ts desc, seq desc)[:8] back from {source} group by entity)",
+        f"walk as (select t.entity, 0 h, t.last_ts, list_reverse(back) vals, b0, b1, b2 from tails t {join} "
+        f"union all select entity, h + 1, last_ts, list_append(vals, b0 + b1 * vals[len(vals) - 3] + b2 * vals[len(vals) - 7]), b0, b1, b2 from walk where h < {AHEAD})",
+    )
+
+
+_AHEAD_OUT = f"select entity, h, last_ts + to_hours(h) ts, {r('vals[len(vals)]', 'pred', 4)} from walk where h > 0"
+_TRAIN = "(select k.* from known k join split s on s.entity = k.entity where s.split = 'train')"
+TWO_LAGS = {"lags": (4, 8), "tiebreak": ["seq"], "use_calendar": False}
+
+
+@query(
+    "K3_forecast_linear_two_lags",
+    f"select k.entity, k.ts, {r('k.value', 'y_true')}, {r('b0 + b1 * x1 + b2 * x2', 'y_pred', 4)} from known k, plane",
+    *split_ctes("readings", 0.6, 0.2),
+    *_lagged("readings"),
+    _plane(_TRAIN),
+)
+def k3_two_lags(spark, d):
+    df = fixture(spark, d, "readings")
+    models = forecast.linear_models(df, split.split_entities(df), **TWO_LAGS)
+    return forecast.fitted_linear(df, models, **TWO_LAGS).withColumn("y_pred", F.round("y_pred", 4))
+
+
+@query(
+    "K3_forecast_linear_ahead",
+    _AHEAD_OUT,
+    *split_ctes("readings", 0.6, 0.2),
+    *_lagged("readings"),
+    _plane(_TRAIN),
+    *_walk("readings", "cross join plane"),
+    recursive=True,
+)
+def k3_ahead(spark, d):
+    df = fixture(spark, d, "readings")
+    models = forecast.linear_models(df, split.split_entities(df), **TWO_LAGS)
+    return forecast.forecast_linear_ahead(df, models, horizon=AHEAD, **TWO_LAGS).withColumn("pred", F.round("pred", 4))
+
+
+@query(
+    "K3_forecast_linear_ahead_per_entity",
+    _AHEAD_OUT,
+    *_lagged("by_type"),
+    _plane("known", "entity"),
+    *_walk("by_type", "left join plane p on p.entity = t.entity"),
+    recursive=True,
+)
+def k3_own(spark, d):
+    df = fixture(spark, d, "by_type")
+    models = forecast.linear_models(df, per_entity=True, **TWO_LAGS)
+    return forecast.forecast_linear_ahead(df, models, horizon=AHEAD, **TWO_LAGS).withColumn("pred", F.round("pred", 4))
+
+
 def mean_of_lookback(x: np.ndarray) -> np.ndarray:
     return np.repeat(x[:, :, -1].astype("float64").mean(axis=1, keepdims=True), H, axis=1)
 

@@ -15,14 +15,15 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, *ctes: str) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, *ctes: str, recursive: bool = False) -> Callable[[Query], Query]:
     """Register a query; ``sql`` is its counterpart over the derived tables,
-    with further common table expressions in ``ctes``."""
+    with further common table expressions in ``ctes`` (``recursive``: some look at
+    themselves)."""
 
     def add(fn: Query) -> Query:
         _QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
         if sql is not None:
-            _SQL[name] = ",\n".join([sql_prelude(), *ctes]) + "\n" + sql
+            _SQL[name] = ",\n".join([sql_prelude(recursive), *ctes]) + "\n" + sql
         return fn
 
     return add

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import CALENDAR, calendar, duration, reading
 from ..operators.grouping import join_per_key
+from ..operators.regression import moments, predicted, solved
 from ..operators.scaling import apply_scaler
 from ..operators.series import (
     FEATURES, drop_nonfinite_sequences, lag_columns, latest_rows, sliding_sequences,
@@ -114,6 +115,108 @@ def forecast_linear(
     return model.transform(table).select(entity, "split", ts, F.col(value).alias("y_true"), "y_pred")
 
 
+def linear_models(
+    df: DataFrame,
+    split: DataFrame | None = None,
+    lags: Sequence[int] = (24, 168),
+    ridge: float = 0.0,
+    entity: str = "entity",
+    ts: str = "ts",
+    value: str = "value",
+    tiebreak: Sequence[str] = (),
+    use_calendar: bool = True,
+    per_entity: bool = False,
+) -> DataFrame:
+    """Weights of a linear model on calendar features and lagged values: ``n``,
+    ``weights`` (calendar first, then lags) and ``bias``.
+
+    One row over the train entities of ``split`` (over all, without one), or with
+    ``per_entity`` one row per entity with its own model.
+    """
+    table = regression_table(df, lags, entity, ts, value, tiebreak)
+    inputs = [*(CALENDAR if use_calendar else ()), *[f"lag_{k}" for k in lags]]
+    if not per_entity and split is not None:
+        table = table.join(split.filter(F.col("split") == "train").select(entity), entity, "left_semi")
+    fit = moments(table, inputs, value, [entity] if per_entity else [])
+    return solved(fit, len(inputs), ridge).select(*([entity] if per_entity else []), "n", "weights", "bias")
+
+
+def forecast_linear_ahead(
+    df: DataFrame,
+    models: DataFrame,
+    lags: Sequence[int] = (24, 168),
+    horizon: int = 24,
+    step: str = "1H",
+    entity: str = "entity",
+    ts: str = "ts",
+    value: str = "value",
+    tiebreak: Sequence[str] = (),
+    use_calendar: bool = True,
+) -> DataFrame:
+    """Steps after each entity's last reading by ``models`` (from ``linear_models``
+    with the same arguments): entity, h, ts, pred.
+
+    A step's lags are known readings or, beyond the last one, earlier steps'
+    predictions. What meets is the last ``max(lags)`` readings of an entity. Every
+    entity has ``horizon`` steps; ``pred`` is NULL where a lag is missing, the
+    series is too short, or there is no model.
+    """
+    longest = max(int(k) for k in lags)
+    tail = latest_rows(df.filter(F.col(ts).isNotNull()).select(entity, ts, value, *tiebreak), longest, entity, ts, tiebreak)
+    past = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("back"), reading(value).alias("v"))))
+    ends = tail.groupBy(entity).agg(past.alias("_past"), F.max(ts).alias("_last"))
+    # Short series are filled up in front, so that a lag is a place from the end.
+    missing = F.array_repeat(F.lit(None).cast("double"), longest - F.size("_past"))
+    ends = ends.select(entity, "_last", F.concat(missing, F.col("_past.v")).alias("_past"))
+    if entity in models.columns:
+        own = models.select(F.col(entity).alias("_m"), "weights", "bias")
+        ends = ends.join(own, F.col(entity).eqNullSafe(F.col("_m")), "left").drop("_m")
+    else:
+        # One row.
+        ends = ends.join(F.broadcast(models.select("weights", "bias").limit(1)), how="left")
+    names = list(CALENDAR) if use_calendar else []
+    n, unit = duration(step).split()
+    width = F.expr(f"INTERVAL '{n}' {unit.upper()}")
+
+    def fixed(h):
+        """What bias and calendar give for step ``h``."""
+        features = calendar(F.col("_last") + h * width)
+        total = F.col("bias")
+        for k, c in enumerate(names):
+            total = total + F.get("weights", F.lit(k)) * features[c].cast("double")
+        return total
+
+    def next_one(known, h):
+        total = F.get("_fixed", h - 1)
+        for k, lag in enumerate(lags):
+            total = total + F.get("weights", F.lit(len(names) + k)) * F.get(known, F.size(known) - F.lit(int(lag)))
+        return F.concat(known, F.array(total))
+
+    ahead = F.sequence(F.lit(1), F.lit(horizon))
+    steps = ends.withColumn("_fixed", F.transform(ahead, fixed)).withColumn("_all", F.aggregate(ahead, F.col("_past"), next_one))
+    each = steps.select(entity, "_last", F.posexplode(F.slice("_all", longest + 1, horizon)).alias("_at", "pred")).withColumn("h", F.col("_at") + 1)
+    return each.select(entity, "h", _ahead("_last", "h", step).alias(ts), "pred")
+
+
+def fitted_linear(
+    df: DataFrame,
+    models: DataFrame,
+    lags: Sequence[int] = (24, 168),
+    entity: str = "entity",
+    ts: str = "ts",
+    value: str = "value",
+    tiebreak: Sequence[str] = (),
+    use_calendar: bool = True,
+) -> DataFrame:
+    """Predictions of known rows by ``models`` of all entities: entity, ts, y_true,
+    y_pred."""
+    table = regression_table(df, lags, entity, ts, value, tiebreak)
+    inputs = [*(CALENDAR if use_calendar else ()), *[f"lag_{k}" for k in lags]]
+    # One row.
+    table = table.join(F.broadcast(models.select("weights", "bias").limit(1)))
+    return table.select(entity, ts, F.col(value).alias("y_true"), predicted("weights", "bias", inputs).alias("y_pred"))
+
+
 def batch_predict(
     seqs: DataFrame,
     predict: Callable[[np.ndarray], np.ndarray],

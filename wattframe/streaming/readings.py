@@ -8,6 +8,10 @@ from ..functions.columns import duration, reading
 from ..operators.reshape import add_time_features
 
 
+#: Marks rows that only say how far the time has come.
+END = "_end"
+
+
 def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:
     """Parquet files of a folder as a stream."""
     reader = spark.readStream.schema(schema)
@@ -29,47 +33,58 @@ def stream_dedup(df: DataFrame, delay: str = "1 day", entity: str = "entity", ts
     return event_time(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([entity, ts])
 
 
+def with_end(df: DataFrame, path: str) -> DataFrame:
+    """``df`` together with the end markers below ``path``, told apart by ``END``. The
+    folder is made if there is none."""
+    spark, schema = df.sparkSession, df.schema
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return df.withColumn(END, F.lit(False)).unionByName(read_stream(spark, path, schema).withColumn(END, F.lit(True)))
+
+
+def mark_end(spark: SparkSession, path: str, schema, at, ts: str = "ts") -> None:
+    """Say that nothing before ``at`` comes any more: the next run of a stream made
+    by ``with_end`` moves its watermark there, and what it still held comes out.
+    The input itself is not read again."""
+    none = [F.lit(at).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != END]
+    spark.range(1).select(*none).write.mode("append").parquet(path)
+
+
+def is_reading(df: DataFrame, ts: str = "ts"):
+    """True for rows that are no end markers. It names the time as well, so that it
+    is asked behind the watermark, which has to see the markers."""
+    return (~F.col(END)) | F.col(ts).isNull() if END in df.columns else F.lit(True)
+
+
 def stream_resample(
-    df: DataFrame, freq: str = "3H", delay: str = "1 day", entity: str = "entity", ts: str = "ts", value: str = "value"
+    df: DataFrame,
+    freq: str = "3H",
+    delay: str = "1 day",
+    entity: str = "entity",
+    ts: str = "ts",
+    value: str = "value",
+    meter: str = "meter",
 ) -> DataFrame:
-    """Mean per (entity, bin), emitted once the watermark has passed the bin."""
+    """Mean of the non-missing readings per (entity, bin) as FLOAT, emitted once the
+    watermark has passed the bin; bins without one are dropped. ``meter`` is the
+    earliest non-missing one in the bin, where the column exists. The last bins
+    come out with an end marker."""
     w = F.window(ts, duration(freq))
+    kinds = [F.min(F.when(F.col(meter).isNotNull(), F.struct(ts, meter))).getField(meter).alias(meter)] if meter in df.columns else []
     return (
         event_time(df, ts)
-        .withColumn(value, reading(value))
         .withWatermark(ts, delay)
+        .filter(is_reading(df, ts))
+        .withColumn(value, reading(value))
         .groupBy(entity, w)
-        .agg(F.avg(value).alias(value))
-        .filter(F.col(value).isNotNull())
-        .select(entity, F.col("window.start").alias(ts), value)
-    )
-
-
-def closing_bins(
-    df: DataFrame, emitted: DataFrame, freq: str = "3H", entity: str = "entity", ts: str = "ts", value: str = "value"
-) -> DataFrame:
-    """The bins that a stopped ``stream_resample`` has kept to itself: means of the
-    rows of ``df`` (the stream's input as a table) after the last bin emitted.
-
-    The watermark emits all bins up to a time, so only later rows are read. Rows
-    that came too late for their bin stay out of it, as in the stream.
-    """
-    step = duration(freq)
-    done = emitted.agg((F.max(ts) + F.expr(f"INTERVAL {step}")).alias("_done")).first()["_done"]
-    rest = event_time(df, ts)
-    if done is not None:
-        rest = rest.filter(F.col(ts) >= F.lit(done))
-    return (
-        rest.withColumn(value, reading(value))
-        .groupBy(entity, F.window(ts, step))
-        .agg(F.avg(value).alias(value))
+        .agg(F.avg(value).cast("float").alias(value), *kinds)
         .filter(F.col(value).isNotNull())
-        .select(entity, F.col("window.start").alias(ts), value)
+        .select(entity, F.col("window.start").alias(ts), value, *([meter] if kinds else []))
     )
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there into Parquet files at ``path`` and stop."""
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> list[dict]:
+    """Process what is there into Parquet files at ``path`` and stop. Returns what
+    each batch reported."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -79,3 +94,4 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
         .start()
     )
     query.awaitTermination()
+    return list(query.recentProgress)
