@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattframe.operators import scaling, series, split
+from wattframe.operators.clean import filter_entities
 from wattframe.operators.resample import resample_mean
 from wattframe.operators.reshape import add_time_features
 from wattframe.plans.forecast import training_tables
@@ -137,6 +138,17 @@ SCALED_CTE = (
 )
 
 
+# The same by means and variances of the train entities only.
+SCALED_ON_TRAIN = (
+    "fitted as (select "
+    + ", ".join(f'avg("{f}") "{f}_mean", var_pop("{f}") "{f}_var"' for f in FEATURE_NAMES)
+    + " from features f join split s on s.entity = f.entity where s.split = 'train')",
+    "scaled as (select entity, idx, value raw, "
+    + ", ".join(f'(cast("{f}" as float) - "{f}_mean") / case when "{f}_var" > 0 then sqrt("{f}_var") else 1 end "{f}"' for f in FEATURE_NAMES)
+    + " from features, fitted)",
+)
+
+
 def rounded(df, digits=4):
     return df.withColumns({f: F.round(f, digits) for f in FEATURE_NAMES})
 
@@ -162,11 +174,12 @@ def n3_sequences(spark, d):
     + ")",
     FEATURES_CTE,
     STARTS_CTE,
-    SCALED_CTE,
     *split_ctes("readings", 0.6, 0.2),
+    *SCALED_ON_TRAIN,
 )
 def k5(spark, d):
     df = features(spark, d)
     parts = split.split_entities(df)
-    seqs = training_tables(df, parts, scaling.fit_scaler(df), L, H, STRIDE, tiebreak=["seq"])
+    train = filter_entities(df, parts.filter("split = 'train'"))
+    seqs = training_tables(df, parts, scaling.fit_scaler(train), L, H, STRIDE, tiebreak=["seq"])
     return rounded(flat(seqs, ["split"]))

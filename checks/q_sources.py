@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import functions as F
 
 from wattframe.operators import scaling, split
-
 from wattframe.operators.reshape import wide_to_long
 from wattframe.plans.preprocess import preprocess
 from wattframe.session import shared_path
@@ -23,6 +26,34 @@ LONG_SQL = " union all ".join(
 )
 
 
+def in_nanoseconds(spark, d) -> str:
+    """The events in Parquet files with nanosecond times, one file per task."""
+    path = shared_path(spark, "nanoseconds")
+    rows = fixture(spark, d, "dirty").select(F.col("ts").alias("timestamp_local"), F.col("entity").alias("building_id"), "meter", F.col("value").cast("float").alias("value"))
+    where, root = fs.FileSystem.from_uri(path)
+    where.create_dir(root, recursive=True)
+
+    def write(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if tables:
+            own = pa.concat_tables(tables)
+            own = own.set_column(0, "timestamp_local", own.column("timestamp_local").cast(pa.timestamp("ns")))
+            target, folder = fs.FileSystem.from_uri(path)
+            pq.write_table(own, f"{folder}/part-{uuid.uuid4().hex}.parquet", filesystem=target)
+            yield pa.RecordBatch.from_pydict({"rows": [own.num_rows]})
+
+    rows.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    return path
+
+
+@query(
+    "S5_read_readings_nanoseconds",
+    f"select entity, ts, meter, {r('cast(value as float)', 'value')} from dirty where meter = 'electricity'",
+)
+def s5_nanoseconds(spark, d):
+    return src.read_readings(spark, in_nanoseconds(spark, d))
+
+
 def wide_csv(spark, d) -> str:
     path = shared_path(spark, "wide-csv")
     stamped = wide(spark, d).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))

@@ -39,10 +39,10 @@ def test_nanosecond_times(spark, tmp_path):
     ])
     path = str(tmp_path / "ns.parquet")
     pq.write_table(pa.Table.from_pandas(frame, schema=schema, preserve_index=False), path)
-    try:
-        rows = src.read_readings(spark, path, kind=None, nanos=True).orderBy("ts").collect()
-    finally:
-        spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+    setting = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(setting)
+    rows = src.read_readings(spark, path, kind=None).orderBy("ts").collect()
+    assert src.read_readings(spark, path).count() == 1 and spark.conf.get(setting) == before
     assert [r["ts"] for r in rows] == [dt.datetime(2016, 1, 1), dt.datetime(2017, 12, 31, 23, 0, 0, 123456)]
 
 

@@ -121,6 +121,33 @@ def order_bucket(v: str | Column, per_octave: int = 64) -> Column:
     return F.when(F.isnan(v), F.lit(NAN_BUCKET)).otherwise(known).cast("int")
 
 
+#: Bits of a digit of ``order_key``.
+DIGIT = 23
+
+
+def order_key(v: str | Column) -> Column:
+    """A long that orders like the DOUBLE and is equal for equal ones: the bits of
+    the number, mirrored for negative ones. NaN comes last, as in Spark.
+
+    Its digits of ``DIGIT`` bits cut any set of numbers into buckets of bounded
+    size: 2**18 first digits, and 2**23 values of each further one.
+    """
+    v = as_col(v).cast("double")
+    a, one, least = F.abs(v), F.lit(1 << 52), F.lit(2.2250738585072014e-308)
+    usual = F.when((a >= least) & (a < F.lit(float("inf"))), a).otherwise(F.lit(1.0))
+    near = F.floor(F.log2(usual))
+    # The logarithm may be off by one next to a power of two.
+    e = F.when(F.pow(F.lit(2.0), near) > usual, near - 1).when(F.pow(F.lit(2.0), near + 1) <= usual, near + 1).otherwise(near)
+    normal = (e + 1023) * one + ((usual / F.pow(F.lit(2.0), e) - 1.0) * one).cast("long")
+    bits = (
+        F.when(v == 0, F.lit(0))
+        .when(a < least, (F.least(a, least) / F.lit(5e-324)).cast("long"))
+        .when(a == F.lit(float("inf")), F.lit(2047 << 52))
+        .otherwise(normal)
+    ).cast("long")
+    return F.when(F.isnan(v), F.lit((2047 << 52) + 1)).when(v < 0, -bits).otherwise(bits)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

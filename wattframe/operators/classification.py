@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import NAN_BUCKET, is_finite, order_bucket, ratio0
+from ..functions.columns import DIGIT, NAN_BUCKET, is_finite, order_bucket, order_key, ratio0
 from .grouping import GROUP_LIMIT, merge_single_rows, split_hot
 
 COUNTS = ("true_positives", "false_positives", "true_negatives", "false_negatives")
@@ -50,15 +50,37 @@ def binary_metrics(
     return counts.select(*by, *[c.alias(n) for n, c in rates(*[F.col(c) for c in COUNTS]).items()], *COUNTS)
 
 
+def _pairs_inside(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Per group ``_p`` and ``_q``, its positive and negative rows, and ``_pairs``, the
+    pairs among them in the right order; equal ones count half."""
+    bucket = "partition by " + ", ".join(f"`{k}`" for k in keys)
+    placed = rows.selectExpr(
+        "*",
+        f"sum(_q) over ({bucket} order by {order} range between unbounded preceding and current row) as _upto",
+        f"sum(_q) over ({bucket} order by {order} range between current row and current row) as _same",
+    )
+    return placed.groupBy(*keys).agg(*map(F.expr, ("sum(_p) as _p", "sum(_q) as _q", "sum(double(_p) * (_upto - double(_same) / 2)) as _pairs")))
+
+
+def _pairs_across(parts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The same for groups of such counts, in ``order``: pairs inside the parts, and
+    between a part and those below it."""
+    bucket = "partition by " + ", ".join(f"`{k}`" for k in keys)
+    placed = parts.selectExpr("*", f"coalesce(sum(_q) over ({bucket} order by {order} rows between unbounded preceding and 1 preceding), 0) as _below")
+    return placed.groupBy(*keys).agg(*map(F.expr, ("sum(_p) as _p", "sum(_q) as _q", "sum(_pairs + double(_p) * _below) as _pairs")))
+
+
 def roc_auc(
-    df: DataFrame, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score", limit: int = GROUP_LIMIT
+    df: DataFrame, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score", limit: int = GROUP_LIMIT, digit: int = DIGIT
 ) -> DataFrame:
     """Area under the ROC curve, ties counted half; 0 for a single class.
 
     Rows without label or score do not count; a NaN score has no rank, and the area
     of its group is 0. Pairs are counted inside order-preserving score buckets, and one row per
     bucket carries the counts of the buckets below. A bucket with very many
-    rows first collapses to counts per distinct score.
+    rows first collapses to counts per distinct score, and is then cut by the
+    digits of the scores' order keys: no window is over more than 2**23 rows,
+    however many distinct scores there are.
     """
     df = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     by, part = list(by), ", ".join(f"`{b}`" for b in by)
@@ -70,18 +92,11 @@ def roc_auc(
         order_bucket(score).alias("_b"),
     )
     small, large = split_hot(rows, [*by, "_b"], limit)
-    large = large.groupBy(*by, "_b", "_s").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
-    bucket = f"partition by {part}{', ' if by else ''}_b"
-    buckets = (
-        small.unionByName(large)
-        .selectExpr(
-            "*",
-            f"sum(_q) over ({bucket} order by _s range between unbounded preceding and current row) as _upto",
-            f"sum(_q) over ({bucket} order by _s range between current row and current row) as _same",
-        )
-        .groupBy(*by, "_b")
-        .agg(*map(F.expr, ("sum(_p) as _p", "sum(_q) as _q", "sum(double(_p) * (_upto - double(_same) / 2)) as _pairs")))
-    )
+    keys = [*by, "_b"]
+    cells = large.groupBy(*keys, order_key("_s").alias("_k")).agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    leaves = _pairs_inside(cells.withColumn("_leaf", F.shiftright("_k", digit)), [*keys, "_leaf"], "_k")
+    nodes = _pairs_across(leaves.withColumn("_node", F.shiftright("_leaf", digit)), [*keys, "_node"], "_leaf")
+    buckets = _pairs_inside(small, keys, "_s").unionByName(_pairs_across(nodes, keys, "_node"))
     return (
         buckets.selectExpr(
             "*",

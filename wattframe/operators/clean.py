@@ -87,7 +87,8 @@ def resolve_columns(df: DataFrame, roles: Mapping[str, Sequence[str]], keep: Seq
 
 
 def recent_history(df: DataFrame, days: int = 180, entity: str = "entity", ts: str = "ts") -> DataFrame:
-    """Per entity, the rows of the last ``days`` days before its last reading."""
+    """Per entity, the rows of the last ``days`` days before its last reading. Rows
+    without an entity are a series too; rows without a time are left out."""
     ends = df.groupBy(entity).agg(F.max(ts).alias("_end"))
     span = F.make_dt_interval(days=F.lit(int(days)))
     return (

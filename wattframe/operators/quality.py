@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import hours_between, ratio
-from .grouping import GROUP_LIMIT, merge_single_rows
+from .grouping import GROUP_LIMIT, join_per_key, merge_single_rows
 from .quantiles import exact_quantiles
 from .series import BLOCK_DAYS, collapsed
 
@@ -173,7 +173,7 @@ def quality_report(
     exact, g = variant == "exact", granularity_hours
     facts = _facts(df, g, entity, ts, value, block_days, exact, unique, limit)
     medians = exact_quantiles(df, value, {"median": 0.5}, [entity], limit)
-    f = facts.join(medians, entity, "left").withColumns({
+    f = join_per_key(facts, medians, [entity]).withColumns({
         "hours": F.when(F.col("n") > 1, hours_between("t_min", "t_max")).otherwise(F.lit(0.0)),
         "mean": F.expr("total / nullif(m, 0)"),
         "std": F.expr("if(m > 1, sqrt(spread / nullif(m - 1, 0)), null)"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import bin_start, duration, reading
-from .grouping import merge_single_rows
+from ..functions.columns import bin_start, day_block, duration, reading
+from .grouping import join_per_key, merge_single_rows
 from .quantiles import exact_quantiles
+from .series import BLOCK_DAYS
 
 
 #: Bins of a gap that are written out at a time.
@@ -53,6 +54,7 @@ def resample(
     entity: str = "entity",
     ts: str = "ts",
     value: str = "value",
+    block_days: int = BLOCK_DAYS,
 ) -> DataFrame:
     """``mean``, ``sum`` or ``median`` per (entity, bin), with every bin between
     an entity's first and last reading: an empty bin is missing, or 0 for sums.
@@ -69,13 +71,17 @@ def resample(
     )
     keys = [entity, "_bin"]
     if how == "median":
-        bins = rows.groupBy(*keys).agg(F.count("_v").alias("_n")).join(
-            exact_quantiles(rows, "_v", {"_out": 0.5}, keys), keys, "left"
-        )
+        bins = join_per_key(rows.groupBy(*keys).agg(F.count("_v").alias("_n")), exact_quantiles(rows, "_v", {"_out": 0.5}, keys), keys)
     else:
         agg = F.avg("_v") if how == "mean" else F.coalesce(F.sum("_v"), F.lit(0.0))
         bins = rows.groupBy(*keys).agg(agg.alias("_out"))
-    after = F.lead("_bin").over(Window.partitionBy(entity).orderBy("_bin"))
+    # The next bin is in the same block of days or the first one of a later block: a
+    # row per block tells which.
+    bins = bins.withColumn("_blk", day_block("_bin", block_days))
+    block, series = [entity, "_blk"], Window.partitionBy(entity).orderBy("_blk")
+    starts = bins.groupBy(*block).agg(F.min("_bin").alias("_first")).select(*block, F.lead("_first").over(series).alias("_later"))
+    bins = join_per_key(bins, starts, block)
+    after = F.coalesce(F.lead("_bin").over(Window.partitionBy(*block).orderBy("_bin")), F.col("_later"))
     fill = F.lit(0.0) if how == "sum" else F.lit(None).cast("double")
     seconds = lambda interval: F.expr(f"cast(cast({interval} as interval second) as bigint)")
     spaced = bins.withColumn("_next", after).withColumn("_step", step)

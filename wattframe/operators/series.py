@@ -1,8 +1,9 @@
 """Operators that depend on the time order inside each entity's series.
 
 One entity may hold a large share of all rows, so no window runs over a whole
-entity. A series is cut into blocks of fixed width in time; windows run inside
-one (entity, block), and only a summary row per block is ordered over the
+entity. A series is cut into blocks of fixed width in time, and a block with very
+many rows into pieces of a width that its number of rows asks for; windows run
+inside one (entity, piece), and only a summary row per piece is ordered over the
 whole entity. Repeated readings are collapsed into counts before that, so
 copies of one reading cost one row.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import day_block, duration, is_finite
 from ..session import lazy_checkpoint
-from .grouping import GROUP_LIMIT, split_hot
+from .grouping import GROUP_LIMIT, hot_groups, join_per_key, null_safe, split_hot
 
 BLOCK_DAYS = 32
 
@@ -29,6 +30,45 @@ def _prior(w):
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
+#: A block is cut into at most 2**PIECE_BITS pieces.
+PIECE_BITS = 20
+#: Pieces are so many times finer than an even spread of the rows would need.
+FINER_BITS = 6
+
+
+def piece_of(ts: str, block_days: int, rows: Column | None = None, limit: int = GROUP_LIMIT) -> Column:
+    """A long that numbers the pieces of time in order: the block's number, and the
+    part of the block. Blocks of unknown size (``rows`` null) are one piece; others
+    are cut into a power of two of equal parts, 64 times as many as would do if
+    their rows were spread evenly."""
+    block = F.shiftleft(day_block(ts, block_days).cast("long"), PIECE_BITS)
+    if rows is None:
+        return block
+    days = F.pmod(F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")), F.lit(block_days))
+    clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.expr(f"cast(extract(second from `{ts}`) as double)")
+    part = F.floor((days + clock / 86400.0) / block_days * (1 << PIECE_BITS)).cast("long")
+    bits = F.least(F.lit(PIECE_BITS), F.ceil(F.log2(rows / limit)).cast("int") + FINER_BITS)
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), PIECE_BITS - bits)
+    return block + F.when(rows.isNull(), F.lit(0).cast("long")).otherwise(part - part % width)
+
+
+def with_pieces(df: DataFrame, entity: str, ts: str, block_days: int, limit: int = GROUP_LIMIT) -> DataFrame:
+    """``df`` with ``_blk``, the piece of its series that a row is in."""
+    keyed = df.withColumn("_day", day_block(ts, block_days))
+    hot = hot_groups(keyed, [entity, "_day"], limit, "_rows")
+    named = keyed.join(hot, null_safe([entity, "_day"], ["_hot0", "_hot1"]), "left")
+    return named.withColumn("_blk", piece_of(ts, block_days, F.col("_rows"), limit)).drop("_day", "_rows", "_hot0", "_hot1")
+
+
+def tie_order(df: DataFrame, tiebreak: Sequence[str], *known: str) -> list[str]:
+    """``tiebreak``, or without one all other columns that can be ordered, by name:
+    rows that still tie are the same, so any order of them is as good."""
+    if tiebreak:
+        return list(tiebreak)
+    plain = [f.name for f in df.schema.fields if f.name not in known and not f.dataType.typeName().startswith(("map", "variant"))]
+    return [f"`{c}`" for c in sorted(plain)]
+
+
 def row_index(
     df: DataFrame,
     entity: str = "entity",
@@ -37,18 +77,21 @@ def row_index(
     name: str = "idx",
     block_days: int = BLOCK_DAYS,
     method: str = "blocks",
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
-    """0-based position of each row in its entity's series (plus ``tiebreak``).
+    """0-based position of each row in its entity's series (plus ``tiebreak``; by
+    default all other columns).
 
     Rows are numbered inside a piece of the series; the number of rows in
     earlier pieces is a prefix sum over one row per piece. With ``blocks`` a
-    piece is a block of days: one shuffle, for series with about one row per
-    (entity, time). With ``range`` the rows are first range-partitioned by
-    (entity, time, tiebreak) and a piece is what one partition holds, so even
-    a huge number of rows at one time is cut; that costs a checkpoint.
+    piece is a block of days, or a part of one with more than ``limit`` rows. With
+    ``range`` the rows are first range-partitioned by (entity, time, tiebreak) and
+    a piece is what one partition holds, so even a huge number of rows at one
+    time is cut; that costs a checkpoint.
     """
+    tiebreak = tie_order(df, tiebreak, entity, ts)
     if method == "blocks":
-        keyed = df.withColumn("_blk", day_block(ts, block_days))
+        keyed = with_pieces(df, entity, ts, block_days, limit)
     elif method == "range":
         placed = df.repartitionByRange(F.col(entity), F.col(ts), *[F.col(c) for c in tiebreak])
         # Both uses below must see the same partitions, also after a lost executor.
@@ -82,7 +125,7 @@ def time_gaps(
     at that time: the first of them has this ``gap``, any further one has a
     gap of zero. ``gap`` is an interval, NULL for the first time of a series.
     """
-    rows = df.filter(F.col(ts).isNotNull()).select(entity, ts, day_block(ts, block_days).alias("_blk"))
+    rows = with_pieces(df.filter(F.col(ts).isNotNull()).select(entity, ts), entity, ts, block_days, limit)
     block, series = [entity, "_blk"], Window.partitionBy(entity).orderBy("_blk")
     carry = (
         rows.groupBy(*block).agg(F.max(ts).alias("_last")).select(*block, F.lag("_last").over(series).alias("_carry"))
@@ -93,7 +136,7 @@ def time_gaps(
     )
     inside = Window.partitionBy(*block).orderBy(ts)
     return (
-        counted.join(carry, block)
+        join_per_key(counted, carry, block, "inner")
         .groupBy(*block, ts, "_carry")
         .agg(F.sum("_c").alias("readings"))
         .withColumn("prev_ts", F.coalesce(F.lag(ts).over(inside), F.col("_carry")))
@@ -124,21 +167,19 @@ def collapsed(
     """Readings as (entity, ``_blk``, ``_t``, ``_v``, ``_c``) with ``_c`` rows each.
 
     In blocks of more than ``limit`` rows equal readings collapse into one row
-    before they meet; other blocks need no grouping and no shuffle here. Where
-    the caller knows that readings are unique (after ``dedup``),
-    ``unique=True`` leaves out the look at block sizes.
+    before they meet, and the block is cut into pieces; other blocks need no
+    grouping and no shuffle here. Where the caller knows that readings are unique
+    (after ``dedup``), ``unique=True`` leaves out the look at block sizes.
     """
-    base = df.selectExpr(
-        f"`{entity}`",
-        f"cast(floor(datediff(cast(`{ts}` as date), date'1970-01-01') / {int(block_days)}) as int) as _blk",
-        f"`{ts}` as _t",
-        f"nanvl(cast(`{value}` as double), cast(null as double)) as _v",
-    )
+    base = df.selectExpr(f"`{entity}`", f"`{ts}` as _t", f"nanvl(cast(`{value}` as double), cast(null as double)) as _v")
+    base = base.withColumn("_blk", piece_of("_t", block_days))
+    one = F.lit(1).cast("long").alias("_c")
     if unique:
-        return base.withColumn("_c", F.lit(1).cast("long"))
-    small, large = split_hot(base, [entity, "_blk"], limit)
-    return small.withColumn("_c", F.lit(1).cast("long")).unionByName(
-        large.groupBy(entity, "_blk", "_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        return base.select(entity, "_blk", "_t", "_v", one)
+    small, large = split_hot(base, [entity, "_blk"], limit, "_rows")
+    cut = large.withColumn("_blk", piece_of("_t", block_days, F.col("_rows"), limit))
+    return small.select(entity, "_blk", "_t", "_v", one).unionByName(
+        cut.groupBy(entity, "_blk", "_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
 
 

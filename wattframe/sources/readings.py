@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +92,22 @@ def verify_readings(spark: SparkSession, path: str, schema: T.StructType = READI
     )
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, with numbers for columns of nanosecond times.
+
+    Spark refuses to derive a schema from such files, but reads them by a schema
+    that says LONG. That schema is derived in a session of its own.
+    """
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as refused:
+        if "PARQUET_TYPE_ILLEGAL" not in str(refused):
+            raise
+    aside = spark.newSession()
+    aside.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.schema(aside.read.parquet(path).schema).parquet(path)
+
+
 def read_readings(
     spark: SparkSession,
     path: str,
@@ -99,18 +116,15 @@ def read_readings(
     value: str = "value",
     meter: str = "meter",
     times: Sequence[str] = TIME_NAMES,
-    nanos: bool = False,
 ) -> DataFrame:
     """Readings as (ts, entity, [meter], value FLOAT), one meter kind. The entity is
     the first of the listed columns that is there.
 
-    ``nanos=True`` is for files whose times are stored in nanoseconds: such a
-    column is read as a number and becomes a time in microseconds. The filter
+    Times may be stored in nanoseconds, which Spark has no type for: they become
+    times in microseconds, and the session's settings are not touched. The filter
     and the column list reach the Parquet scan; nothing is sorted here.
     """
-    if nanos:
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    df = spark.read.parquet(path)
+    df = _scan(spark, path)
     when = first_present(df.columns, times, "time column")
     who = first_present(df.columns, [entity] if isinstance(entity, str) else entity, "entity column")
     if kind is not None:
