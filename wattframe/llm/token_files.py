@@ -18,6 +18,7 @@ is looked at later, so attempts that were lost leave nothing that counts.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -46,8 +47,12 @@ _SHARD_MAGIC, _INDEX_MAGIC = b"TOKS", b"MPHI"
 _LOWER = bytes(b | 0x20 if 65 <= b <= 90 else b for b in range(256))
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _COMBINING = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
-# Latin letters that stay letters under NFC and lower case: without U+0130.
-_LETTERS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+")
+# Letters that NFC leaves alone unless marks combine with them, and whose small
+# letters are among them: without U+0130.
+_LATIN = "ªµºÀ-ÖØ-öø-įı-ſ"
+_PLAIN = re.compile(f"[!-~{_LATIN}]*")
+# Where the tokenizer cuts such chunks.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+").findall
 _U = np.uint64
 
 
@@ -72,34 +77,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for name, i in names.items() if name.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Ids of chunks not met so far. Latin letters and the ASCII marks after them
-        are split by the tokenizer in any case, so both parts are looked up. Other
-        words may end in a combining mark once normalized, which belongs to the
-        marks then; these chunks stay whole."""
-        known, before, cut, ask = self.known, self.before, [], set()
+        """Ids of chunks not met so far. A chunk of ASCII and Latin letters is cut where
+        the tokenizer cuts it, so words are found again whatever marks, digits and
+        hyphens are around them. Other words may change once normalized, as may
+        special tokens when cut; these chunks stay whole."""
+        known, before, words = self.known, self.before, self.words
+        if len(words) > CACHE_ENTRIES:
+            self.old_words, self.words = words, {}
+            words = self.words
+        old_words, cut, ask, odd = self.old_words, [], set(), set()
         for c in chunks:
-            if (old := before.get(c)) is not None:
-                known[c] = old
-            elif c[-1] in _MARKS and ((word := c.rstrip(_MARKS)).isalpha() or _LETTERS.fullmatch(word.decode())):
+            if (ids := before.get(c)) is not None:
+                known[c] = ids
+            elif c.isalpha() and c.islower():
+                if (ids := old_words.get(c)) is not None:
+                    known[c] = ids
+                else:
+                    cut.append((c, (c,)))
+                    ask.add(c)
+            elif c[-1] in _MARKS and (word := c.rstrip(_MARKS)).isalpha() and word.islower():
                 marks = c[len(word) :]
-                cut.append((c, word, marks))
+                cut.append((c, (word, marks)))
                 ask.add(word)
                 ask.add(marks)
+            elif b"<|" not in c and _PLAIN.fullmatch(text := c.decode()):
+                parts = [p.encode() for p in _PIECES(text.lower())]
+                cut.append((c, parts))
+                ask.update(parts)
             else:
-                ask.add(c)
-        new = [c for c in ask if c not in known]
-        for k in range(0, len(new), 8192):
-            some = new[k : k + 8192]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-            ends = list(accumulate([len(x) * self.width for x in ids], initial=0))
-            known.update(zip(some, map(flat.__getitem__, map(slice, ends, ends[1:]))))
-        for c, word, marks in cut:
-            known[c] = known[word] + known[marks]
+                cut.append((c, (c,)))
+                odd.add(c)
+        for some, single in ((ask, True), (odd, False)):
+            found = []
+            for p in some.difference(words):
+                if (ids := old_words.get(p)) is not None:
+                    words[p] = ids
+                else:
+                    found.append(p)
+            self.ask(found, single)
+        for c, parts in cut:
+            known[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
+
+    def ask(self, parts: list[bytes], single: bool) -> None:
+        """Have the library encode ``parts``. Those that are one word each (``single``) go
+        as one text with spaces between: every word's ids end in one that ends a
+        word, which tells them apart again."""
+        for k in range(0, len(parts), 8192):
+            some = parts[k : k + 8192]
+            if single:
+                flat = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.kind)
+                ends = np.flatnonzero(self.ends_word[flat]) + 1
+                if len(ends) != len(some):
+                    self.ask(some, False)
+                    continue
+                ends = [0, *(ends * self.width).tolist()]
+            else:
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+                flat = np.fromiter(chain.from_iterable(ids), self.kind)
+                ends = list(accumulate([len(x) * self.width for x in ids], initial=0))
+            raw = flat.tobytes()
+            self.words.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:]))))
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """Packed ids of each text."""
@@ -112,8 +160,7 @@ class Encoder:
         cut = [(d.encode() if not d.isascii() and _COMBINING.search(d) or "<|" in d else d.encode().translate(_LOWER)).split() for d in docs]
         new: set[bytes] = set()
         new.update(*cut)
-        new.difference_update(self.known.keys())
-        if new:
+        if new := new.difference(self.known):
             self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cut]
