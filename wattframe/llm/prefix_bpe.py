@@ -34,6 +34,8 @@ from .common import pick, slices, texts
 
 #: Entries of a worker's stores: chunks between spaces, pieces, pairs of tokens.
 CHUNKS, PIECES, PAIRS = 300_000, 300_000, 400_000
+#: Lengths of the beginnings of words that are kept, the longest first.
+HEADS = (8, 5)
 #: Bytes of a text that are cut at a time.
 WINDOW = 1 << 20
 _LOWER = bytes(b | 0x20 if 65 <= b <= 90 else b for b in range(256))
@@ -158,7 +160,9 @@ class WordBpe:
         self.whole = {symbols(names[i]): i for i in ids}
         self.automaton = SuffixAutomaton(self.whole)
         self.direct = {bytes(s & 255 for s in word): i for word, i in self.whole.items() if word[-1] >= 256}
+        self.step = self.automaton.step.get
         self.pairs: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple[tuple[int, ...], int, int]] = {}
         self.pieces: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
@@ -186,15 +190,20 @@ class WordBpe:
         integers."""
         if (whole := self.direct.get(piece)) is not None:
             return whole.to_bytes(4, "little")
-        automaton, pairs, may_follow = self.automaton, self.pairs, self.may_follow
-        step, link, length, ends = automaton.step.get, automaton.link, automaton.length, automaton.ends
-        # The last token of each prefix; the empty one has none.
-        last = array("i", [-1])
-        state = matched = 0
-        final = len(piece)
-        for n, symbol in enumerate(piece, 1):
-            if n == final:
-                symbol += 256
+        heads, final = self.heads, len(piece)
+        # The last token of each prefix; the empty one has none. Words that begin alike
+        # share what was found for their heads.
+        for n in HEADS:
+            if n < final and (head := heads.get(piece[:n])) is not None:
+                found, state, matched = head
+                last = list(found)
+                break
+        else:
+            last, n, state, matched = [-1], 0, 0, 0
+        pairs, may_follow, add = self.pairs, self.may_follow, last.append
+        step, link, length, ends = self.step, self.automaton.link, self.automaton.length, self.automaton.ends
+        for symbol in (*piece[n:-1], piece[-1] + 256):
+            n += 1
             while (to := step(state << 9 | symbol)) is None:
                 state = link[state]
                 matched = length[state]
@@ -203,18 +212,19 @@ class WordBpe:
             for size, token in ends[state]:
                 if size > matched:
                     continue
-                one = last[n - size]
-                if one >= 0:
+                if (one := last[n - size]) >= 0:
                     if (fits := pairs.get(key := one << 20 | token)) is None:
                         pairs[key] = fits = may_follow(one, token)
                     if not fits:
                         continue
-                last.append(token)
+                add(token)
                 break
+            if n in HEADS and n < final:
+                heads[piece[:n]] = tuple(last), state, matched
         out, n, size = array("I"), final, self.size
         while n:
-            out.append(last[n])
-            n -= size[last[n]]
+            out.append(token := last[n])
+            n -= size[token]
         out.reverse()
         return out.tobytes()
 
@@ -232,6 +242,8 @@ class WordBpe:
             pieces.clear()
         if len(self.pairs) > PAIRS:
             self.pairs.clear()
+        if len(self.heads) > PIECES:
+            self.heads.clear()
         for c in chunks:
             if (ids := before.get(c)) is None:
                 parts = []
