@@ -35,6 +35,16 @@ TEXT: dict[str, tuple[tuple[str, ...], str]] = {
         "select cast(user_id as string), ts, event_id*2+1, cast(floor((value+1e0)/40e0) as double) "
         "from {events} where event_id%23=0",
     ),
+    # The same with one very long series that has no entity.
+    "unnamed": (
+        ("events",),
+        "select case when user_id%4=0 then cast(null as string) else cast(user_id as string) end entity, ts, event_id*2 seq, "
+        "case when event_id%17=0 then cast(null as double) when event_id%19=0 then 0e0 "
+        "else cast(floor(value/40e0) as double) end as value from {events} "
+        "union all "
+        "select case when user_id%4=0 then cast(null as string) else cast(user_id as string) end, ts, event_id*2+1, "
+        "cast(floor((value+1e0)/40e0) as double) from {events} where event_id%23=0",
+    ),
     "by_type": (
         ("events",),
         "select event_type entity, ts, event_id seq, cast(value as double) as value from {events}",

@@ -172,6 +172,15 @@ def c8(spark, d):
     return clean.recent_history(fixture(spark, d, "dirty"), 7)
 
 
+@query(
+    "C8_recent_history_null_entity",
+    f"select entity, ts, seq, {r('value')} from (select *, max(ts) over (partition by entity) hi from unnamed) "
+    "where ts >= hi - interval '7 days'",
+)
+def c8_null(spark, d):
+    return clean.recent_history(fixture(spark, d, "unnamed"), 7)
+
+
 KEEP_SQL = (
     f"select entity, ts, seq, {r('value')}, meter from dirty where entity in "
     "(select entity from dirty group by entity having count(case when value = 0 then 1 end) >= 4)"
@@ -380,6 +389,21 @@ def w1_daily(spark, d):
     return gaps.withColumn("gap_hours", hours_between("prev_ts", "ts")).drop("gap")
 
 
+@query(
+    "W1_time_gaps_null_entity",
+    "select entity, ts, readings, prev_ts, "
+    + r("(epoch_us(ts) - epoch_us(prev_ts)) / 3600000000.0", "gap_hours")
+    + " from (select *, lag(ts) over (partition by entity order by ts) prev_ts from "
+    "(select entity, ts, count(*) readings from unnamed group by 1, 2))",
+)
+def w1_null(spark, d):
+    from wattframe.functions.columns import hours_between
+
+    # Blocks of more than a few rows are cut into pieces.
+    gaps = series.time_gaps(fixture(spark, d, "unnamed"), block_days=5, limit=12)
+    return gaps.withColumn("gap_hours", hours_between("prev_ts", "ts")).drop("gap")
+
+
 @query(
     "W2_duplicate_flags",
     "select entity, ts, l_orderkey, l_linenumber, l_partkey, "
@@ -413,6 +437,15 @@ def w3(spark, d):
     return series.constant_runs(fixture(spark, d, "runs"), 4, block_days=3)
 
 
+@query(
+    "W3_constant_runs_dense",
+    f"select entity, {r('value')}, run_start, run_end, run_length from run_lengths where run_length >= 4",
+    *runs_ctes("unnamed"),
+)
+def w3_dense(spark, d):
+    return series.constant_runs(fixture(spark, d, "unnamed"), 4, block_days=3, limit=12)
+
+
 @query(
     "P3_stored_types",
     "select entity, ts, "

@@ -46,7 +46,7 @@ def report_ctes(src: str, g: int = G, fast: bool = False, name: str = "report")
         *steps,
         f"parts as (select entity, n total_records, span time_span_hours, span/24 time_span_days, g2 gaps_2h, g24 gaps_24h, "
         f"case when n > 1 then 1 - 1e0*g2/(n-1) else 0 end continuity_ratio, 1e0*(n-times)/n duplicate_ratio, {cols} "
-        "from facts left join stuck using (entity))",
+        "from facts left join (select entity stuck_entity, stuck from stuck) on entity is not distinct from stuck_entity)",
         f"{name} as (select *, 0.30*completeness_ratio + 0.25*coverage_ratio + 0.25*continuity_ratio + 0.10*(1-zero_ratio) "
         "+ 0.05*(1-constant_ratio) + 0.05*(1-duplicate_ratio) quality_score from parts)",
     )
@@ -82,6 +82,20 @@ def a5_daily(spark, d):
     return tidy(quality.quality_report(fixture(spark, d, "daily"), G), 4)
 
 
+#: So low that most blocks count as dense.
+DENSE = 12
+
+
+@query("A5_quality_report_null_entity", REPORT_SQL, *report_ctes("unnamed"))
+def a5_null(spark, d):
+    return quality.quality_report(fixture(spark, d, "unnamed"), G, block_days=5)
+
+
+@query("A5_quality_report_dense", REPORT_SQL, *report_ctes("unnamed"))
+def a5_dense(spark, d):
+    return quality.quality_report(fixture(spark, d, "unnamed"), G, block_days=5, limit=DENSE)
+
+
 @query("A6_quality_report_fast", REPORT_SQL, *report_ctes("runs", fast=True))
 def a6(spark, d):
     return report(spark, d, variant="fast")

@@ -63,4 +63,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import q_cleaning, q_forecasting, q_metrics, q_quality, q_series, q_sources, q_streams  # noqa: F401
+    from . import q_cleaning, q_forecasting, q_metrics, q_quality, q_series, q_sketches, q_sources, q_streams  # noqa: F401
