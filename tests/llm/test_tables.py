@@ -385,3 +385,28 @@ def test_token_files_on_random_texts():
     want = [np.array(library.encode(d, add_special_tokens=False).ids, coder.kind).tobytes() for d in docs]
     for k in range(0, len(docs), 100):
         assert coder.encode(docs[k : k + 100]) == want[k : k + 100]
+
+
+def test_warc_ranges_of_a_large_archive_and_lost_attempts(spark, tmp_path):
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, f"http://{i}", rng.randbytes(rng.randint(0, 3000)).hex()) for i in range(400)], "page_id long, url string, html string").coalesce(1)
+    warc.register(spark)
+    path = f"file://{tmp_path}/w"
+    warc.as_records(pages).coalesce(1).write.format("warc").option("markBytes", 20000).mode("append").save(path)
+    archives = [f for f in (tmp_path / "w").iterdir() if f.suffix == ".warc"]
+    assert len(archives) == 1 and archives[0].stat().st_size > 500_000
+    cut = spark.read.format("warc").option("rangeBytes", 60000).load(path)
+    assert cut.rdd.getNumPartitions() > 8 and spark.read.format("warc").load(path).rdd.getNumPartitions() == 1
+    want = {(r.page_id, r.html) for r in pages.collect()}
+    assert {(r.page_id, r.payload.decode()) for r in cut.collect()} == want and cut.count() == 400
+    # What an attempt left that was never committed is not read.
+    (tmp_path / "w" / "lost.warc").write_bytes(archives[0].read_bytes()[:1000])
+    assert cut.count() == 400
+    # More is added beside it.
+    warc.as_records(pages.where("page_id < 10")).write.format("warc").mode("append").save(path)
+    assert spark.read.format("warc").load(path).count() == 410
+    # Archives from elsewhere have no list, and are read as a whole.
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "a.warc").write_bytes(archives[0].read_bytes())
+    other = spark.read.format("warc").option("rangeBytes", 60000).load(f"file://{tmp_path}/other")
+    assert other.rdd.getNumPartitions() == 1 and other.count() == 400

@@ -69,7 +69,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "set_id")
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +146,27 @@ SQL: dict[str, str] = {
             where c.level < c.depth + c.top)
         select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
         from climb where level = depth + top""",
+    # Pairs by common shingles; components as the least id that links reach.
+    "op9_jaccard_join": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents),
+        sets as (
+            select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                       when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle
+            from words),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        links as (
+            select a, b from (
+                select x.doc_id as a, y.doc_id as b, count(*) as c from sets x join sets y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by all)
+            join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+            where 100 * c >= 80 * (p.n + q.n - c)),
+        reach as (
+            select a, b from links
+            union
+            select r.a, l.b from reach r join links l on r.b = l.a)
+        select d.doc_id, coalesce(any_value(n), 0) as n_shingles, least(d.doc_id, min(b)) as component_id
+        from documents d left join sizes s on s.doc_id = d.doc_id left join reach r on r.a = d.doc_id group by d.doc_id""",
     "op4_exact_dedup": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
                doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256

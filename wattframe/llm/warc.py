@@ -3,15 +3,19 @@
 ``register(spark)``, then ``df.write.format("warc").save(path)`` and
 ``spark.read.format("warc").load(path)``.
 
-Reading plans one partition per archive; an archive is never cut, whatever its
-size. Filters on record type and on headers are pushed
+Reading plans partitions of about ``rangeBytes`` (an option): of several small archives,
+or of a range of records of a large one, for which a writer notes where records
+begin. Filters on record type and on headers are pushed
 down: a record's header is parsed first, and the payload of a record that is
 not wanted, or of any record if the schema asks for no payload, is neither read
 nor decoded; its length in the header says where the next record begins.
 
 Payloads are stored as HTTP responses with gzip as their content encoding, so an
-archive can be skipped through without decoding. Writers put archives aside
-under a name of their attempt; the driver moves those of committed tasks.
+archive can be skipped through without decoding. A task writes archives of about
+``archiveBytes`` under names of its own attempt, and nothing is moved: what a write
+has committed is one list beside them, with each archive's name, size and marks. In
+a folder with such lists only archives that are on one are read, so attempts that
+were lost do not count; in a folder without any, every archive is read, as a whole.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
@@ -45,7 +50,11 @@ from .common import pick
 #: Payloads shorter than this are stored again and again, never referred to.
 LEAST_REVISIT = 1000
 #: Bytes after which a writer begins another archive, and which a reading task takes.
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES = RANGE_BYTES = 64 << 20
+#: A writer notes where a record begins about so often.
+MARK_BYTES = 8 << 20
+_LIST = "_archives-"
+_LISTED = pa.schema([("name", pa.string()), ("size", pa.int64()), ("marks", pa.list_(pa.int64()))])
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 _HEAD_READ = 4096
 _ARROW = pa.schema(
@@ -119,10 +128,11 @@ def decode(block: bytes) -> bytes:
     return gzip.decompress(body) if b"content-encoding: gzip" in head.lower() else body
 
 
-def records(file: pa.NativeFile, wanted, payloads: bool) -> Iterator[dict[str, object]]:
-    """Values of the records that ``wanted`` accepts, by their header alone. Counts
-    of bytes that are not needed are passed over."""
-    at, end = 0, file.size()
+def records(file: pa.NativeFile, wanted, payloads: bool, at: int = 0, end: int | None = None) -> Iterator[dict[str, object]]:
+    """Values of the records between ``at``, where one begins, and ``end`` that
+    ``wanted`` accepts, by their header alone. Counts of bytes that are not needed are
+    passed over."""
+    end = file.size() if end is None else end
     while at < end:
         raw = file.read_at(min(_HEAD_READ, end - at), at)
         while (cut := raw.find(b"\r\n\r\n")) < 0:
@@ -148,14 +158,14 @@ def records(file: pa.NativeFile, wanted, payloads: bool) -> Iterator[dict[str, o
 
 @dataclass
 class Archives(InputPartition):
-    """Archives that one task reads."""
+    """Ranges of archives that one task reads: file, first byte and end."""
 
-    files: list[str]
+    ranges: list[tuple[str, int, int]]
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType) -> None:
-        self.path, self.names = path, schema.fieldNames()
+    def __init__(self, path: str, schema: StructType, range_bytes: int = RANGE_BYTES) -> None:
+        self.path, self.names, self.range_bytes = path, schema.fieldNames(), range_bytes
         self.equal: dict[str, set] = {}
         self.present: set[str] = set()
 
@@ -183,14 +193,31 @@ class WarcReader(DataSourceReader):
         found = where.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         scheme = self.path[: len(self.path) - len(self.path.split("://", 1)[-1])]
         host = "" if scheme in ("", "file://") else self.path.split("://", 1)[1].split("/", 1)[0]
+        full = lambda p: f"{scheme}{host}{p if p.startswith('/') or not host else '/' + p}"
+        files = {i.path: i.size for i in found if i.is_file}
+        listed: dict[str, dict[str, tuple[int, list[int]]]] = {}
+        for p in files:
+            folder, _, base = p.rpartition("/")
+            if base.startswith(_LIST):
+                for r in pq.read_table(p, filesystem=where, schema=_LISTED).to_pylist():
+                    listed.setdefault(folder, {})[r["name"]] = r["size"], r["marks"]
         plan: list[Archives] = []
         total = 0
-        for info in sorted((i for i in found if i.is_file and i.path.endswith(".warc")), key=lambda i: i.path):
-            if not plan or total + info.size > ARCHIVE_BYTES:
-                plan.append(Archives([]))
-                total = 0
-            plan[-1].files.append(f"{scheme}{host}{info.path if info.path.startswith('/') or not host else '/' + info.path}")
-            total += info.size
+        for p in sorted(p for p in files if p.endswith(".warc")):
+            folder, _, base = p.rpartition("/")
+            if folder in listed and base not in listed[folder]:
+                continue
+            size, marks = listed[folder][base] if folder in listed else (files[p], [0])
+            for start, end in zip(marks, [*marks[1:], size]):
+                if not plan or total + end - start > self.range_bytes:
+                    plan.append(Archives([]))
+                    total = 0
+                own, name = plan[-1].ranges, full(p)
+                if own and own[-1][0] == name and own[-1][2] == start:
+                    own[-1] = (name, own[-1][1], end)
+                else:
+                    own.append((name, start, end))
+                total += end - start
         return plan or [Archives([])]
 
     def _wanted(self, row: dict[str, object]) -> bool:
@@ -199,10 +226,10 @@ class WarcReader(DataSourceReader):
     def read(self, partition: Archives) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([_ARROW.field(n) for n in self.names])
         rows, held = [], 0
-        for name in partition.files:
+        for name, start, end in partition.ranges:
             where, path = fs.FileSystem.from_uri(name)
             with where.open_input_file(path) as file:
-                for row in records(file, self._wanted, "payload" in self.names):
+                for row in records(file, self._wanted, "payload" in self.names, start, end):
                     rows.append(row)
                     held += len(row.get("payload") or b"") + 256
                     if held > 4 << 20:
@@ -214,44 +241,52 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Archives of one committed task."""
+    """Archives of one committed task: name, size and where records begin."""
 
-    files: list[str]
+    files: list[tuple[str, int, list[int]]]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, archive_bytes: int = ARCHIVE_BYTES, mark_bytes: int = MARK_BYTES) -> None:
+        self.path, self.archive_bytes, self.mark_bytes = path, archive_bytes, mark_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         where, root = fs.FileSystem.from_uri(self.path)
-        where.create_dir(f"{root}/_pending", recursive=True)
-        files, out, size = [], None, 0
+        where.create_dir(root, recursive=True)
+        files, out, size, marks = [], None, 0, []
+
+        def close() -> None:
+            out.close()
+            files[-1] = (files[-1][0], size, marks)
+
         for batch in iterator:
             for row in (r for k in range(0, batch.num_rows, 256) for r in batch.slice(k, 256).to_pylist()):
-                if out is None or size > ARCHIVE_BYTES:
+                if out is None or size > self.archive_bytes:
                     if out is not None:
-                        out.close()
-                    files.append(f"{uuid.uuid4().hex}.warc")
-                    out, size = where.open_output_stream(f"{root}/_pending/{files[-1]}"), 0
+                        close()
+                    files.append((f"{uuid.uuid4().hex}.warc", 0, []))
+                    out, size, marks = where.open_output_stream(f"{root}/{files[-1][0]}"), 0, []
+                if not marks or size - marks[-1] >= self.mark_bytes:
+                    marks.append(size)
                 raw = record(row["page_id"], row["url"], row["record_type"], row["refers_to"], row["payload_digest"], row["payload_bytes"], row["payload"])
                 out.write(raw)
                 size += len(raw)
         if out is not None:
-            out.close()
+            close()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         where, root = fs.FileSystem.from_uri(self.path)
-        for message in messages:
-            for name in message.files if message else ():
-                where.move(f"{root}/_pending/{name}", f"{root}/{name}")
+        where.create_dir(root, recursive=True)
+        rows = [{"name": n, "size": z, "marks": m} for message in messages if message for n, z, m in message.files]
+        with where.open_output_stream(f"{root}/{_LIST}{uuid.uuid4().hex}.parquet") as out:
+            pq.write_table(pa.Table.from_pylist(rows, _LISTED), out)
 
     def abort(self, messages: list[Written | None]) -> None:
         where, root = fs.FileSystem.from_uri(self.path)
         for message in messages:
-            for name in message.files if message else ():
-                where.delete_file(f"{root}/_pending/{name}")
+            for name, _, _ in message.files if message else ():
+                where.delete_file(f"{root}/{name}")
 
 
 class WarcSource(DataSource):
@@ -266,12 +301,12 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema)
+        return WarcReader(self.options["path"], schema, int(self.options.get("rangeBytes", RANGE_BYTES)))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         if overwrite:
             raise ValueError("archives are added to a folder, not replaced")
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], int(self.options.get("archiveBytes", ARCHIVE_BYTES)), int(self.options.get("markBytes", MARK_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
