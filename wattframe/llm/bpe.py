@@ -15,6 +15,7 @@ store of bounded size.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, slices, texts
+from .common import pick, released, slices, texts
 
 #: Entries a worker keeps before it starts afresh.
 CACHE_ENTRIES = 150_000
@@ -267,11 +268,19 @@ def bpe_decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str =
 
 def bpe_digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode, and digest both: ``doc_id``, ``n_tokens``, ``ids_sha256``,
-    ``decoded_sha256``."""
-    both = bpe_decode(bpe_encode(docs, rank_file, pattern, id_col, text_col), rank_file, pattern)
-    return both.select(
-        F.col(f"`{id_col}`").alias("doc_id"),
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ``decoded_sha256``. One worker does it all, and only digests leave it."""
+    out = pick(docs, id=id_col, text=text_col)
+    schema = out.select("id", F.lit(0).cast("long").alias("n"), F.lit("").alias("a"), F.lit("").alias("b")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(rank_file, pattern)
+        with released():
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids = vocab.encode(texts(part, "text"))
+                    size = pa.array([len(x) // 4 for x in ids], pa.int64())
+                    of_ids = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+                    of_text = pa.array([hashlib.sha256(vocab.decode(x)).hexdigest() for x in ids], pa.string())
+                    yield pa.RecordBatch.from_arrays([part.column("id"), size, of_ids, of_text], ["id", "n", "a", "b"])
+
+    return out.mapInArrow(run, schema).toDF("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
