@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -68,6 +70,19 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Give memory back to the machine behind a task: workers go on living, and
+    what one task needed for a while would count against all later ones."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def to_batches(schema: pa.Schema, parts: Iterable[list]) -> Iterator[pa.RecordBatch]:
     for columns in parts:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(columns, schema)], schema=schema)

@@ -40,13 +40,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, slices, stored, texts
+from .common import pick, released, slices, stored, texts
 from .components import components
 
 SHINGLE = 5
 PERCENT = 80
 #: Bytes of text whose prefix sums are held at a time (or one longer text).
 PIECE_BYTES = 1 << 20
+#: Bytes of text whose sets are held and looked up together (or one longer text).
+SLICE_BYTES = 2 << 20
 #: Columns of a set's parity bits.
 _BITS = tuple(f"b{i}" for i in range(8))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,43 +77,87 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def shingle_sets(docs: list[str], width: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct ``width``-word shingles of each text as sorted 64-bit hashes.
-
-    Words are runs without ASCII white space, A-Z in lower case. A text with
-    fewer words is one shingle; one without words has none.
-    """
-    raw, total = [d.encode() for d in docs], 0
-    for i, r in enumerate(raw):
-        total += len(r)
-        if i and total > PIECE_BYTES:
-            return shingle_sets(docs[:i], width) + shingle_sets(docs[i:], width)
-    joined = _LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
-    space = _SPACE[joined]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+def _word_sums(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash (not mixed yet) and length of each word in lower-case bytes."""
+    space = np.concatenate([[True], _SPACE[joined], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[0::2], edge[1::2]
     # Hash of a word: difference of prefix sums, moved to position 0.
-    up, down = _powers(1 << max(16, int(len(joined)).bit_length()))
+    up, down = _powers(1 << max(16, int(len(joined) + 1).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[joined] * up[: len(joined)], dtype=np.uint64)])
-    word = _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    first = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    bounds = np.searchsorted(starts, first)
-    factor = [_U(pow(_BASE, 2 * k + 3, 1 << 64)) for k in range(width)]
+    return starts, (total[ends] - total[starts]) * down[starts], (ends - starts).astype(np.uint64)
+
+
+def _grams(word: np.ndarray, width: int) -> np.ndarray:
     n = max(0, len(word) - width + 1)
     gram = np.zeros(n, np.uint64)
     for k in range(width):
-        gram += word[k : k + n] * factor[k]
-    gram = _mix(gram)
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= width:
-            out.append(np.unique(gram[a : b - width + 1]))
-        elif b > a:
-            short = sum((int(w) * int(f) for w, f in zip(word[a:b], factor)), b - a)
-            out.append(_mix(np.array([short & (2**64 - 1)], np.uint64)))
+        gram += word[k : k + n] * _U(pow(_BASE, 2 * k + 3, 1 << 64))
+    return _mix(gram)
+
+
+def _short(word: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with too few words."""
+    if not len(word):
+        return np.zeros(0, np.uint64)
+    total = sum((int(w) * pow(_BASE, 2 * k + 3, 1 << 64) for k, w in enumerate(word)), len(word))
+    return _mix(np.array([total & (2**64 - 1)], np.uint64))
+
+
+def _long_set(raw: bytes, width: int) -> np.ndarray:
+    """The shingles of one long text, part by part: the last words of a part, and
+    a word that it cuts, are carried into the next one."""
+    tail, found = np.zeros(0, np.uint64), []
+    cut_sum, cut_size = _U(0), 0
+    for at in range(0, len(raw), PIECE_BYTES):
+        joined = _LOWER[np.frombuffer(raw, np.uint8, min(PIECE_BYTES, len(raw) - at), at)]
+        starts, sums, sizes = _word_sums(joined)
+        if cut_size:
+            if len(starts) and starts[0] == 0:
+                sums[:1] = cut_sum + sums[:1] * _U(pow(_BASE, cut_size, 1 << 64))
+                sizes[:1] += _U(cut_size)
+            else:
+                sums, sizes = np.append(cut_sum, sums), np.append(_U(cut_size), sizes)
+            cut_size = 0
+        if at + PIECE_BYTES < len(raw) and len(sums) and not _SPACE[joined[-1]]:
+            cut_sum, cut_size = sums[-1], int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        tail = np.concatenate([tail, _mix(sums + sizes)])
+        if len(tail) >= width:
+            found.append(np.unique(_grams(tail, width)))
+            tail = tail[len(tail) - width + 1 :]
+    return np.unique(np.concatenate(found)) if found else _short(tail)
+
+
+def shingle_sets(docs: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct ``width``-word shingles of each text as sorted 64-bit hashes.
+
+    Words are runs without ASCII white space, A-Z in lower case. A text with
+    fewer words is one shingle; one without words has none. Prefix sums are held
+    for ``PIECE_BYTES`` of text at a time, whatever the length of a text.
+    """
+    out, some, size = [], [], 0
+    for d in docs:
+        raw = d.encode()
+        if size + len(raw) > PIECE_BYTES:
+            out += _sets_of(some, width)
+            some, size = [], 0
+        if len(raw) > PIECE_BYTES:
+            out.append(_long_set(raw, width))
         else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            some.append(raw)
+            size += len(raw) + 1
+    return out + _sets_of(some, width)
+
+
+def _sets_of(raw: list[bytes], width: int) -> list[np.ndarray]:
+    if not raw:
+        return []
+    starts, sums, sizes = _word_sums(_LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)])
+    word = _mix(sums + sizes)
+    gram = _grams(word, width)
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)])).tolist()
+    return [np.unique(gram[a : b - width + 1]) if b - a >= width else _short(word[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _need(n, percent: int):
@@ -152,11 +198,15 @@ def _scan(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
     schema = _SCAN.format(id=id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released():
+            yield from packed(batches)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
         out = None
         for batch in batches:
             out = out or pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("id", batch.schema.field("id").type), ("n", pa.int32()), ("floor", pa.int32()), ("near", pa.int32()), ("sig", pa.binary()), ("bucket", pa.int32()), ("names", pa.binary()), ("owners", pa.binary())])
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(texts(piece, "text"))
                 base = part << 40 | seen
                 seen += len(sets)
@@ -210,9 +260,13 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     joined = docs.alias("d").join(nodes.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("node", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with released():
+            yield from made(batches)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets(texts(piece, "text"))
                 # Another text under the same id is not the node's.
                 own = [i for i, (s, sig) in enumerate(zip(sets, piece.column("sig").to_pylist())) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == sig]

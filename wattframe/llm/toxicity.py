@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import pick, slices, texts
+from .common import pick, released, slices, texts
 
 # Insults that need no labels to be known.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
@@ -51,7 +51,7 @@ ANNOTATOR = (0.999, 0.001)
 MOST_EVIDENCE = 5.0
 #: What makes a term telling: likelihood ratio, and log odds against the other class.
 MIN_RATIO, MIN_LIFT = 9.0, 1.5
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 _WORDS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
@@ -278,38 +278,42 @@ def _fit(sample: DataFrame, terms: int, voters: int) -> Model:
     )
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", carry_text: bool = True) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from
-    0.5 on), in place of any columns of these names. Empty and null texts get
-    the score of a text without known terms. Only the text decides. Without
-    ``carry_text`` the text itself is left out of the result."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    held = pick(docs, text=text_col, **{f"c{i}": c for i, c in enumerate(names) if c != text_col or carry_text})
-    names = [c for c in names if c != text_col or carry_text]
-    sent = model
+def probability(model: Model):
+    """A function of a text column: the score of each text. Only the texts go to
+    Python, and only numbers come back."""
+    weights, bias = model.weights, model.bias
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.weights, sent.bias
+    @F.arrow_udf("double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[bytes, tuple[bytes, ...]] = {}
-        for batch in batches:
-            for part in slices(batch, "text"):
+        with released():
+            for batch in batches:
                 out = []
-                for t in texts(part, "text"):
+                for text in batch:
                     found: set[bytes] = set()
-                    for w in words(t):
+                    for w in words(text.as_py() or ""):
                         got = known.get(w)
                         if got is None:
                             known[w] = got = tuple(f for f in features(w) if f in weights)
                         if got:
                             found.update(got)
                     out.append(bias + sum(map(weights.__getitem__, sorted(found))))
-                if len(known) > CACHE_ENTRIES:
-                    known.clear()
-                p = 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], [*part.schema.names[1:], "p"])
+                    if len(known) > CACHE_ENTRIES:
+                        known.clear()
+                yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))))
+
+    return of
 
-    scored = held.mapInArrow(run, held.drop("text").withColumn("p", F.lit(0.0)).schema)
-    return scored.withColumn("q", (F.col("p") >= 0.5).cast("int")).toDF(*names, "score", "predicted")
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from
+    0.5 on), in place of any columns of these names. Empty and null texts get
+    the score of a text without known terms. Only the text decides."""
+    names = docs.columns
+    held = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    scored = held.withColumn("p", probability(model)(F.col(f"_{names.index(text_col)}")))
+    kept = [i for i, c in enumerate(names) if c not in ("score", "predicted")]
+    return scored.select(*[f"_{i}" for i in kept], "p", (F.col("p") >= 0.5).cast("int")).toDF(*[names[i] for i in kept], "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,5 +327,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def toxicity_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every document."""
     model = fit(docs, labels, id_col, text_col)
-    scored = score(pick(docs, id=id_col, text=text_col), model, carry_text=False)
+    scored = score(pick(docs, id=id_col, text=text_col), model)
     return scored.select(F.col("id").alias("doc_id"), (~in_training_fold("id")).alias("held_out"), "score", "predicted")
