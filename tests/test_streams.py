@@ -3,9 +3,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from wattframe.streaming import readings as st
-from wattframe.streaming.alerts import keyed_state, stream_alerts
+from wattframe.streaming.alerts import MeterWatch, keyed_state, stream_alerts
 
 SCHEMA = "entity string, ts timestamp_ntz, value double, meter string"
 
@@ -80,3 +82,56 @@ def test_alerts_over_restarts(spark, tmp_path, arrive):
         assert len([r for r in rows if r[1] == "gap"]) == len(gaps) and [r for r in rows if r[1] == "stuck"][0] == stuck
         assert shown(run()[1]) == rows
         assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+class Held:
+    """A list state and timers in memory that count the calls."""
+
+    def __init__(self):
+        self.calls, self.entries, self.timers = 0, [], set()
+
+    def getListState(self, name, schema):
+        return self
+
+    def called(self):
+        self.calls += 1
+
+    def get(self):
+        self.called()
+        return iter(self.entries)
+
+    def appendValue(self, entry):
+        self.called()
+        self.entries.append(entry)
+
+    def appendList(self, entries):
+        self.called()
+        self.entries.extend(entries)
+
+    def put(self, entries):
+        self.called()
+        self.entries = list(entries)
+
+    def registerTimer(self, at):
+        self.called()
+        self.timers.add(at)
+
+
+def test_calls_to_the_state_do_not_grow_with_hours():
+    hour, held, watch = 3_600_000_000, Held(), MeterWatch(10 * 3_600_000, 3)
+    watch.init(held)
+    # One reading an hour, backwards, with a silence after 400; more than one entry.
+    times = [h * hour for h in range(20_000) if not 400 < h < 420]
+    assert not list(watch.handleInputRows(("a",), iter(Row(t=t, v=None if t == hour else float(t > 500 * hour)) for t in reversed(times)), None))
+    assert held.calls <= 4 and held.timers == {3_600_000}
+    alerts = []
+    for passed in (300 * hour, 19_000 * hour, 30_000 * hour):
+        held.timers = {t for t in held.timers if t >= passed // 1000}
+        before = held.calls
+        alerts += [tuple(r) for r in watch.handleExpiredTimer(("a",), TimerValues(0, passed // 1000), None)]
+        assert held.calls - before <= 3
+    assert alerts == [
+        ("a", "stuck", 3 * hour, 0, 3), ("a", "gap", 410 * hour, 400 * hour, None), ("a", "stuck", 503 * hour, 501 * hour, 3),
+        ("a", "gap", 20_009 * hour, 19_999 * hour, None),
+    ]
+    assert not held.timers and len(held.entries) == 1
