@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from checks.fixtures import fixture, table
-from wattframe.operators import clean, quality, resample, series
+from wattframe.operators import classification, clean, quality, resample, series
 from wattframe.operators.reshape import add_time_features
 from wattframe.sources import readings as src
 
@@ -72,3 +72,22 @@ def test_no_cross_joins(spark):
     for out in (quality.quality_summary(quality.quality_report(df, 12)), quality.selection_summary(quality.quality_report(df, 12))):
         p = plan(out)
         assert "CartesianProduct" not in p and "NestedLoop" not in p
+
+
+def test_threshold_counts_are_not_spread_before_the_shuffle(spark):
+    """A group is one row with its curve: no window, and no row per threshold, whose
+    tasks grew to a hundred rows an entity."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(e, y, s) for e in ("a", None) for y, s in ((1, 0.9), (0, 0.9), (1, 0.30), (0, -1.0), (1, nan), (0, inf), (1, None), (None, 0.4))] + [("b", 0, 0.2)]
+    df = spark.createDataFrame(rows, "entity string, y_label int, y_score double")
+    for made in (classification.optimal_threshold(df, "f1", ["entity"]), classification.threshold_curve(df, ["entity"])):
+        text = plan(made)
+        assert "Window" not in text and text.count("Exchange hashpartitioning") == 2 and "Join" not in text
+    curve = {(r.entity, r.i): r for r in classification.threshold_curve(df, ["entity"]).collect()}
+    assert len(curve) == 300
+    for (entity, i), r in curve.items():
+        own = [(y, s) for e, y, s in rows if e == entity and y is not None and s is not None]
+        hits = [s >= i * (1 / 99) for _, s in own]
+        want = tuple(sum(h is hit and (y == 1) is truth for (y, _), h in zip(own, hits)) for truth, hit in ((True, True), (False, True), (False, False), (True, False)))
+        assert tuple(r[c] for c in classification.COUNTS) == want
+    assert classification.threshold_curve(df.limit(0)).count() == 100 and classification.threshold_curve(df.limit(0), ["entity"]).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import DIGIT, NAN_BUCKET, is_finite, order_bucket, order_key, ratio0
 from .grouping import GROUP_LIMIT, merge_single_rows, split_hot
@@ -111,13 +111,14 @@ def roc_auc(
     )
 
 
-def threshold_curve(df: DataFrame, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score") -> DataFrame:
-    """Confusion counts and rates at each of the ``GRID`` thresholds.
+def _curves(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame:
+    """One row per group (or the only one) with ``_curve``: at each of the ``GRID``
+    thresholds ``i``, ``threshold``, ``COUNTS`` and ``RATES``.
 
-    Each row is counted once, at the last threshold it reaches; sums over
-    later thresholds give the counts. At most ``GRID + 1`` rows per group.
+    Each row is counted once, at the last threshold it reaches. A group has at most
+    ``GRID + 1`` such counts; only those it has are shuffled and put in its row, and
+    the sums over later thresholds are made there.
     """
-    by = list(by)
     df = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     step = 1.0 / (GRID - 1)
     # A NaN score reaches no threshold.
@@ -131,30 +132,37 @@ def threshold_curve(df: DataFrame, by: Sequence[str] = (), label: str = "y_label
     )
     truth = F.col(label) == 1
     hist = df.groupBy(*by, at.cast("int").alias("i")).agg(
-        F.count_if(truth).alias("_p"), F.count_if(~truth).alias("_q")
-    )
-    groups = hist.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    zeros = groups.select(
-        *by,
-        F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("i"),
-        F.lit(0).cast("long").alias("_p"),
-        F.lit(0).cast("long").alias("_q"),
-    )
-    dense = hist.unionByName(zeros).groupBy(*by, "i").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
-    grp = Window.partitionBy(*(by or [F.lit(0)]))
-    up = grp.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp, fp = F.sum("_p").over(up), F.sum("_q").over(up)
-    counted = dense.select(
-        *by,
-        "i",
-        tp.alias(COUNTS[0]),
-        fp.alias(COUNTS[1]),
-        (F.sum("_q").over(grp) - fp).alias(COUNTS[2]),
-        (F.sum("_p").over(grp) - tp).alias(COUNTS[3]),
-    ).filter("i >= 0")
-    return counted.select(
-        *by, "i", (F.col("i") * F.lit(step)).alias("threshold"), *COUNTS, *[c.alias(n) for n, c in rates(*[F.col(c) for c in COUNTS]).items()]
+        F.count_if(truth).alias("p"), F.count_if(~truth).alias("q")
     )
+    held = hist.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("p", "q")))).alias("_cells"))
+    zero = F.lit(0).cast("long")
+
+    def cell(i: Column) -> Column:
+        found = F.col("_cells")[i]
+        return F.struct(i.alias("i"), F.coalesce(found["p"], zero).alias("p"), F.coalesce(found["q"], zero).alias("q"))
+
+    def add(sums: Column, c: Column) -> Column:
+        # ``upto``: the counts from each threshold on, the last first.
+        p, q = (sums["p"] + c["p"]).alias("p"), (sums["q"] + c["q"]).alias("q")
+        return F.struct(p, q, F.concat(sums["upto"], F.array(F.struct(c["i"].alias("i"), p, q))).alias("upto"))
+
+    none = F.struct(zero.alias("p"), zero.alias("q"), F.array().cast("array<struct<i int, p bigint, q bigint>>").alias("upto"))
+    dense = F.transform(F.sequence(F.lit(GRID - 1), F.lit(-1)), cell)
+    summed = held.select(*by, F.aggregate(dense, none, add).alias("_sums"))
+
+    def rated(c: Column) -> Column:
+        counts = (c["p"], c["q"], F.col("_sums.q") - c["q"], F.col("_sums.p") - c["p"])
+        named = [x.alias(n) for n, x in (*zip(COUNTS, counts), *rates(*counts).items())]
+        return F.struct(c["i"].alias("i"), (c["i"] * F.lit(step)).alias("threshold"), *named)
+
+    return summed.select(*by, F.transform(F.slice("_sums.upto", 1, GRID), rated).alias("_curve"))
+
+
+def threshold_curve(df: DataFrame, by: Sequence[str] = (), label: str = "y_label", score: str = "y_score") -> DataFrame:
+    """Confusion counts and rates at each of the ``GRID`` thresholds; without ``by``
+    also where no row has label and score."""
+    by = list(by)
+    return _curves(df, by, label, score).select(*by, F.inline("_curve"))
 
 
 def optimal_threshold(
@@ -165,8 +173,9 @@ def optimal_threshold(
     name = "f1_score" if metric == "f1" else metric
     if name not in RATES:
         raise ValueError(f"unknown metric {metric!r}")
-    best = threshold_curve(df, by, label, score).groupBy(*by).agg(
-        F.max(F.struct(F.col(name).alias("m"), (-F.col("i")).alias("neg"), F.col("threshold").alias("t"))).alias("_b")
+    by = list(by)
+    best = _curves(df, by, label, score).select(
+        *by, F.array_max(F.transform("_curve", lambda c: F.struct(c[name].alias("m"), (-c["i"]).alias("neg"), c["threshold"].alias("t")))).alias("_b")
     )
     some = F.col("_b.m") > 0
     return best.select(
