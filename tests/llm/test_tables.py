@@ -280,6 +280,41 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
+def tasks_of(spark, run):
+    """Tasks of all jobs that ``run`` starts."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds}
+    return sum(i.numTasks for k in stages if (i := tracker.getStageInfo(k)) and i.numCompletedTasks)
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    # Chains, and stars whose hub is the least node: many shuffle partitions that
+    # nothing merges cost no task each.
+    chains = [(k, k + 1) for k in range(1000) if k % 5]
+    stars = [(2000 + 10 * k, 2000 + 10 * k + j) for k in range(100) for j in range(1, 10)]
+    conf = {"spark.sql.shuffle.partitions": "199", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    got = {}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        take = lambda name, links: tasks_of(spark, lambda: got.update({name: components(spark.createDataFrame(links, "a long, b long")).collect()}))
+        n_stars, n_chains = take("stars", stars), take("chains", chains)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got["stars"])) == sorted({(x, x // 10 * 10) for link in stars for x in link})
+    assert sorted(map(tuple, got["chains"])) == sorted({(x, x - (x - 1) % 5) for link in chains for x in link})
+    # Before: 199 and more for each of many stages.
+    assert 0 < n_stars < 200 and n_stars < n_chains < 2000
+
+
 # -- token files ---------------------------------------------------------------------
 
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, released, slices, stored, texts
+from .common import by_rows, pick, released, slices, stored, texts
 from .components import components
 
 SHINGLE = 5
@@ -392,42 +392,48 @@ def _possible(percent: int, left: str, right: str) -> str:
 
 
 def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
-    """All links that join components: ``a``, ``b``."""
-    links = lists.sparkSession.createDataFrame([], "a long, b long")
-    tried, group, step = links, None, 0
+    """``node`` and ``component`` of the nodes that link with others."""
+    tried = lists.sparkSession.createDataFrame([], "a long, b long")
+    size, group, step = lists.count(), None, 0
     while True:
         entries = lists.withColumn("component", F.col("node"))
         if group is not None:
             entries = lists.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         last = step == star_rounds
-        found = _across(entries, sets, percent) if last else _stars(entries, percent, step)
-        pairs = stored(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = _across(entries, sets, percent) if last else _stars(by_rows(entries, size), percent, step, size)
+        # Once either way round: each order of the nodes has other hubs.
+        found = found.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).dropDuplicates(["lo", "hi"])
+        known = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        pairs = stored(by_rows(found.join(known, ["lo", "hi"], "left_anti").select("a", "b"), size), "pairs")
         new = stored(_verified(pairs, sets, percent), "verified")
-        tried, links = tried.unionByName(pairs), links.unionByName(new)
-        if last:
-            return links
-        fresh = not new.isEmpty()
-        if fresh:
+        tried = tried.unionByName(pairs)
+        fresh = new.count() > 0
+        if fresh or group is None:
             base = new if group is None else new.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b")))
             group = stored(components(base), "grouped")
+        if last:
+            return group
         # Stars go on as long as they find links.
         step = step + 1 if fresh or step == 0 else star_rounds
 
 
-def _stars(entries: DataFrame, percent: int, step: int) -> DataFrame:
+def _stars(entries: DataFrame, percent: int, step: int, size: int) -> DataFrame:
     """Pairs of each list's first node with the first node of every other component
     in it; nodes come in another order in each step. At first each node keeps the
     partner that most lists name."""
     first = F.struct(F.xxhash64(F.lit(step), "node").alias("by"), "node", "n", "at")
-    entries = entries.groupBy("token", "component").agg(F.min(first).alias("e"))
+    if step:
+        entries = by_rows(entries.groupBy("token", "component").agg(F.min(first).alias("e")), size)
+    else:  # each node is a component
+        entries = entries.select("token", first.alias("e"))
     hubs = entries.groupBy("token").agg(F.min("e").alias("h"))
-    found = entries.join(hubs, "token").where("e.node != h.node").where(_possible(percent, "e", "h"))
-    found = found.select(F.col("h.node").alias("a"), F.col("e.node").alias("b"))
+    found = entries.join(hubs.hint("merge"), "token").where("e.node != h.node").where(_possible(percent, "e", "h"))
+    found = by_rows(found.select(F.col("h.node").alias("a"), F.col("e.node").alias("b")), size)
     if step:
         return found
-    counted = found.groupBy("a", "b").agg(F.count("*").alias("c"))
+    counted = by_rows(found.groupBy("a", "b").agg(F.count("*").alias("c")), size)
     best = counted.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m"))
-    return best.select((-F.col("m.a")).alias("a"), "b")
+    return by_rows(best.select((-F.col("m.a")).alias("a"), "b"), size)
 
 
 def _across(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -469,8 +475,7 @@ def similar_documents(
     nodes = stored(classes.join(left, "node", "left_semi").select("node", "id", "sig"), "nodes")
     sets = stored(_sets(named, nodes), "sets")
     lists = stored(_prefixes(sets, min(buckets, 1 << 16), percent), "posting-lists")
-    links = _links(lists, sets, percent, star_rounds)
-    group = components(links)
+    group = _links(lists, sets, percent, star_rounds)
     named_nodes = classes.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named_nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = named_nodes.join(lowest, "component").select("sig", "component_id", F.col("node").alias("set_id"))
