@@ -341,6 +341,18 @@ def test_words_that_end_in_a_mark_once_normalized():
         assert coder.encode([text]) == [np.array(library.encode(text, add_special_tokens=False).ids, coder.kind).tobytes()], text
 
 
+def test_an_encoder_keeps_a_bounded_number_of_bytes(monkeypatch):
+    # Before: hundreds of thousands of chunks in each of four stores, however long.
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 1 << 20, raising=False)
+    library, coder = Tokenizer.from_file(WORD_BPE), token_files.Encoder(WORD_BPE)
+    rng = random.Random(4)
+    docs = [f"No. {i} " + "".join(rng.choice(("Ab-", "éé,", "12.", "the'll")) for _ in range(30_000)) + f" Ω{i}" for i in range(60)]
+    docs += [" ".join("".join(rng.choices("abcdefgh", k=6)) + rng.choice(("", ".", "-x")) for _ in range(500)) for _ in range(60)]
+    for d in docs + docs[-30:]:
+        assert coder.encode([d]) == [np.array(library.encode(d, add_special_tokens=False).ids, coder.kind).tobytes()]
+    assert sum(len(k) + len(ids) for store in vars(coder).values() if isinstance(store, dict) for k, ids in store.items()) < 4 << 20
+
+
 def test_perfect_hash_and_unknown_keys(spark):
     keys = token_files.key_hashes(pd.Series(range(5000)), np.zeros(5000))
     hashed = token_files.PerfectHash.build(keys)

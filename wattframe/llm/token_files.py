@@ -19,7 +19,6 @@ is looked at later, so attempts that were lost leave nothing that counts.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -29,30 +28,35 @@ from itertools import accumulate, chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wattframe.session import shared_path
 
-from .common import pick, slices, stored, texts
+from .common import pick, released, slices, stored
 
 #: Keys of one part of the index.
 PART_KEYS = 50_000
-CACHE_ENTRIES = 400_000
+#: Texts encoded at once, in bytes.
+ENCODE_BYTES = 4 << 20
+#: Bytes of pieces and ids that a worker keeps, and as many of the generation before.
+CACHE_BYTES = 24 << 20
+# What Python needs for such an entry besides the letters and ids.
+_ENTRY_COST = 150
 # Heads: magic, version, bytes of an id, end id; magic, version, keys, levels.
 _SHARD_HEAD, _SHARD_START = "<4sHHI", 12
 _INDEX_HEAD, _INDEX_START = "<4sIII", 16
 _SHARD_MAGIC, _INDEX_MAGIC = b"TOKS", b"MPHI"
-_LOWER = bytes(b | 0x20 if 65 <= b <= 90 else b for b in range(256))
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_COMBINING = re.compile("[̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
 # Letters that NFC leaves alone unless marks combine with them, and whose small
 # letters are among them: without U+0130.
 _LATIN = "ªµºÀ-ÖØ-öø-įı-ſ"
-_PLAIN = re.compile(f"[!-~{_LATIN}]*")
-# Where the tokenizer cuts such chunks.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+").findall
+_PLAIN = f"^[!-~{_LATIN}]*$"
+_WORD = f"^[a-z{_LATIN}]+$"
+# Where the tokenizer cuts plain chunks, once in small letters.
+_PIECE = f"('s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+)"
+_BLOCK = 1 << 17
 _U = np.uint64
 
 
@@ -63,12 +67,23 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 # -- encoding ------------------------------------------------------------------------
 
 
+def _plain(chunks: pa.Array) -> pa.Array:
+    """Which chunks have ASCII and Latin letters only, and nothing like a special token."""
+    return pc.and_(pc.match_substring_regex(chunks, _PLAIN), pc.invert(pc.match_substring(chunks, "<|")))
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """A tokenizer file of the ``tokenizers`` library.
 
     The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its chunks in order; a worker keeps the ids of chunks it
-    met, in a store of bounded size. ``width`` is the number of bytes of an id.
+    text are those of its chunks in order. The distinct chunks of some texts are
+    cut once, and their distinct pieces looked up once; a worker keeps the ids of
+    pieces in a store of bounded bytes.
+    ``width`` is the number of bytes of an id.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,93 +92,123 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         if suffix:
             self.ends_word[[i for name, i in names.items() if name.endswith(suffix)]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Ids of chunks not met so far. A chunk of ASCII and Latin letters is cut where
-        the tokenizer cuts it, so words are found again whatever marks, digits and
-        hyphens are around them. Other words may change once normalized, as may
-        special tokens when cut; these chunks stay whole."""
-        known, before, words = self.known, self.before, self.words
-        if len(words) > CACHE_ENTRIES:
-            self.old_words, self.words = words, {}
-            words = self.words
-        old_words, cut, ask, odd = self.old_words, [], set(), set()
-        for c in chunks:
-            if (ids := before.get(c)) is not None:
-                known[c] = ids
-            elif c.isalpha() and c.islower():
-                if (ids := old_words.get(c)) is not None:
-                    known[c] = ids
-                else:
-                    cut.append((c, (c,)))
-                    ask.add(c)
-            elif c[-1] in _MARKS and (word := c.rstrip(_MARKS)).isalpha() and word.islower():
-                marks = c[len(word) :]
-                cut.append((c, (word, marks)))
-                ask.add(word)
-                ask.add(marks)
-            elif b"<|" not in c and _PLAIN.fullmatch(text := c.decode()):
-                parts = [p.encode() for p in _PIECES(text.lower())]
-                cut.append((c, parts))
-                ask.update(parts)
-            else:
-                cut.append((c, (c,)))
-                odd.add(c)
-        for some, single in ((ask, True), (odd, False)):
-            found = []
-            for p in some.difference(words):
-                if (ids := old_words.get(p)) is not None:
-                    words[p] = ids
-                else:
-                    found.append(p)
-            self.ask(found, single)
-        for c, parts in cut:
-            known[c] = words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
-
-    def ask(self, parts: list[bytes], single: bool) -> None:
+        self.of_words = self._of_words(spec)
+        # White space at the ends of a text leaves empty chunks.
+        self.words: dict[str, bytes] = {"": b""}
+        self.old_words: dict[str, bytes] = {}
+        self.held = 0
+
+    def _of_words(self, spec: dict):
+        """The same model for pieces already normalized and cut, with spaces between: the
+        library need not do either again. Other kinds of tokenizers do it all."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        kinds = lambda part, of: [x["type"] for x in (spec[part] or {}).get(of, ())]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
+        if kinds("normalizer", "normalizers") != ["NFC", "Replace", "Lowercase"] or kinds("pre_tokenizer", "pretokenizers") != ["Split", "ByteLevel"]:
+            return self.tokenizer
+        if cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            return self.tokenizer
+        made = Tokenizer(self.tokenizer.model)
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return made
+
+    def keep(self, names: list[str], ids: list[bytes]) -> None:
+        self.words.update(zip(names, ids))
+        self.held += sum(map(len, names)) + sum(map(len, ids)) + _ENTRY_COST * len(names)
+
+    def ask(self, parts: list[str], single: bool) -> None:
         """Have the library encode ``parts``. Those that are one word each (``single``) go
         as one text with spaces between: every word's ids end in one that ends a
         word, which tells them apart again."""
-        for k in range(0, len(parts), 8192):
-            some = parts[k : k + 8192]
+        for k in range(0, len(parts), 1024):
+            some = parts[k : k + 1024]
             if single:
-                flat = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, self.kind)
+                flat = np.array(self.of_words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
                 ends = np.flatnonzero(self.ends_word[flat]) + 1
                 if len(ends) != len(some):
                     self.ask(some, False)
                     continue
                 ends = [0, *(ends * self.width).tolist()]
             else:
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
                 flat = np.fromiter(chain.from_iterable(ids), self.kind)
                 ends = list(accumulate([len(x) * self.width for x in ids], initial=0))
             raw = flat.tobytes()
-            self.words.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:]))))
+            self.keep(some, list(map(raw.__getitem__, map(slice, ends, ends[1:]))))
+
+    def of_pieces(self, pieces: pa.Array) -> list[bytes]:
+        """Packed ids of distinct pieces."""
+        names = _strings(pieces)
+        found = list(map(self.words.get, names))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if not new:
+            return found
+        if self.old_words:
+            # What comes up again moves from the earlier store to the new one.
+            asked = [names[k] for k in new]
+            old = list(map(self.old_words.get, asked))
+            again = [k for k, ids in enumerate(old) if ids is not None]
+            self.keep([asked[k] for k in again], [old[k] for k in again])
+            unknown = pieces.take(pa.array([k for k, ids in zip(new, old) if ids is None], pa.int64()))
+        else:
+            unknown = pieces.take(pa.array(new))
+        plain = _plain(unknown)
+        self.ask(_strings(unknown.filter(plain)), True)
+        self.ask(_strings(unknown.filter(pc.invert(plain))), False)
+        for k in new:
+            found[k] = self.words[names[k]]
+        return found
+
+    def joined(self, flat: np.ndarray, size: np.ndarray, index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows one after the other, and the number of ids of each row. ``flat`` has
+        the ids of parts, ``size`` of them each; row i is made of the parts
+        ``index[offsets[i]:offsets[i + 1]]``."""
+        start = np.cumsum(size) - size
+        ends = np.concatenate(([0], np.cumsum(size[index])))
+        out = np.empty(ends[-1], self.kind)
+        for k in range(0, len(index), _BLOCK):
+            some = index[k : k + _BLOCK]
+            low, high = ends[k], ends[k + len(some)]
+            out[low:high] = flat[np.repeat(start[some] - ends[k : k + len(some)], size[some]) + np.arange(low, high)]
+        return out, np.diff(ends[offsets])
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a column (null as empty) one after the other, and the number
+        of ids of each text.
+
+        A plain chunk is cut where the tokenizer cuts it, so words are found again
+        whatever marks, digits and hyphens are around them. Other words may change
+        once normalized, as may special tokens when cut; these chunks stay whole.
+        """
+        if self.held > CACHE_BYTES:
+            self.words, self.old_words, self.held = {"": b""}, self.words, 0
+        cut = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        some = cut.values.dictionary_encode()
+        # The tokenizer lowers letters itself; doing so before finds more words again.
+        plain = _plain(some.dictionary)
+        chunks = pc.if_else(plain, pc.utf8_lower(some.dictionary), some.dictionary)
+        mixed = pc.and_(plain, pc.invert(pc.match_substring_regex(chunks, _WORD)))
+        spaced = pc.replace_with_mask(chunks, mixed, pc.replace_substring_regex(chunks.filter(mixed), _PIECE, r"\1 "))
+        parts = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(spaced))
+        pieces = parts.values.dictionary_encode()
+        packed = self.of_pieces(pieces.dictionary)
+        flat = np.frombuffer(b"".join(packed), self.kind)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        flat, size = self.joined(flat, size, pieces.indices.to_numpy(), parts.offsets.to_numpy())
+        return self.joined(flat, size, some.indices.to_numpy(), cut.offsets.to_numpy())
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.known) > CACHE_ENTRIES:
-            # Chunks that come up again move from the earlier store to the new one.
-            self.known, self.before = {}, self.known
-        # The tokenizer lowers letters itself; doing so before finds more chunks
-        # again. Where marks combine with letters, or special tokens may be
-        # written out, the order matters and the text stays as it is.
-        cut = [(d.encode() if not d.isascii() and _COMBINING.search(d) or "<|" in d else d.encode().translate(_LOWER)).split() for d in docs]
-        new: set[bytes] = set()
-        new.update(*cut)
-        if new := new.difference(self.known):
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        flat, n = self.ids(pa.array(docs, pa.string()))
+        raw, ends = flat.tobytes(), [0, *(np.cumsum(n) * self.width).tolist()]
+        return list(map(raw.__getitem__, map(slice, ends, ends[1:])))
 
 
 @lru_cache(maxsize=2)
@@ -190,34 +235,34 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out = TaskContext.get().partitionId(), None
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.kind).tobytes()
         name = f"{path}/tokens-{shard:06d}-{uuid.uuid4().hex}.bin"
         at, last, again = 0, (), 0
-        try:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids = part.column("id").to_pylist()
-                    if out is None:
-                        target, file = _open(name)
-                        out = target.open_output_stream(file)
-                        out.write(struct.pack(_SHARD_HEAD, _SHARD_MAGIC, 1, coder.width, end_id))
-                    packed = [p + end for p in coder.encode(texts(part, "text"))]
-                    out.write(b"".join(packed))
-                    rows = []
-                    for i, p in zip(ids, packed):
-                        again = again + 1 if (i,) == last else 0
-                        last, n = (i,), len(p) // coder.width
-                        rows.append((again, at, n))
-                        at += n
-                    k = len(ids)
-                    again_, at_, n_ = zip(*rows) if rows else ((), (), ())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard] * k, pa.int32()), pa.array([name] * k, pa.string()), part.column("id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (again_, at_, n_))],
-                        ["shard", "file", "id", "again", "at", "n"],
-                    )
-        finally:
-            if out is not None:
-                out.close()
+        with released():
+            try:
+                for batch in batches:
+                    for part in slices(batch, "text", ENCODE_BYTES):
+                        ids = part.column("id").to_pylist()
+                        if out is None:
+                            target, file = _open(name)
+                            out = target.open_output_stream(file)
+                            out.write(struct.pack(_SHARD_HEAD, _SHARD_MAGIC, 1, coder.width, end_id))
+                        flat, n = coder.ids(part.column("text"))
+                        out.write(np.insert(flat, np.cumsum(n), end_id).tobytes())
+                        n += 1
+                        ends = at + np.cumsum(n)
+                        at_, again_ = ends - n, []
+                        for i in ids:
+                            again = again + 1 if (i,) == last else 0
+                            last = (i,)
+                            again_.append(again)
+                        at, k = int(ends[-1]) if ids else at, len(ids)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([shard] * k, pa.int32()), pa.array([name] * k, pa.string()), part.column("id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in (again_, at_, n))],
+                            ["shard", "file", "id", "again", "at", "n"],
+                        )
+            finally:
+                if out is not None:
+                    out.close()
 
     held = stored(ranged.mapInArrow(run, schema), "token-directory")
     # An id whose rows reach over several shards goes on counting: only the ends of
