@@ -263,6 +263,25 @@ def test_jaccard_join_drops_all_but_one(docs_of):
     assert jaccard_join.similar_documents(docs_of([])).count() == 0
 
 
+def test_jaccard_join_of_copies_that_link_with_a_few(docs_of, monkeypatch):
+    # Copies of one text with other words changed in each: a quarter of all pairs
+    # link, so no copy is one that all others link with.
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(150)]
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(150)
+            words[k] = f"v{k}x{i}"
+        rows.append((i, " ".join(words)))
+    made, across = [], jaccard_join._across
+    monkeypatch.setattr(jaccard_join, "_across", lambda *a: made.append(across(*a)) or made[-1])
+    got = jaccard_join.similar_documents(docs_of(rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows)
+    # Before: 300 for each row.
+    assert made[0].count() <= 10 * len(rows)
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]

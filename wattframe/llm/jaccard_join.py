@@ -17,11 +17,14 @@ pair has to pass all of them before it is verified:
 
 Sets that are equal are one node. Proposals are worked off by stars: each
 posting list links its nodes to one of them, and what is verified becomes one
-component; then lists link one node per component, other nodes each time, as
-long as that finds links; last, all pairs of a list that still lie in different components are
-verified, but for those whose parity bits (a lower bound of the difference of two
-sets) rule them out. So no link between different texts is lost, and a group of
-thousands of near copies costs verifications in proportion to its size.
+component. Then each node is held against a few nodes of its lists that lie in
+other components, other ones each time, and the nearest by parity bits (a lower
+bound of the difference of two sets) is verified, as long as the lists are large
+and that finds many links. Last, all pairs of a list that still lie in different
+components are verified, but for those whose parity bits rule them out. So no link
+between different texts is lost, and a group of thousands of near copies costs
+verifications in proportion to its size, also if each of them links with a few of
+the others only.
 
 Counting shingles sends packed arrays, one row per batch and bucket, in which a
 batch names each shingle once: a shingle of a third of all documents costs its
@@ -49,6 +52,12 @@ PERCENT = 80
 PIECE_BYTES = 1 << 20
 #: Bytes of text whose sets are held and looked up together (or one longer text).
 SLICE_BYTES = 2 << 20
+#: Nodes of a list, at most, that its others are held against in a round of stars.
+HUBS = 16
+#: Pairs left in the lists, as a multiple of their entries, that are few.
+FEW = 4
+#: A round finds many links if one in so many of the nodes left is in one.
+MANY = 20
 #: Columns of a set's parity bits.
 _BITS = tuple(f"b{i}" for i in range(8))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -391,62 +400,93 @@ def _possible(percent: int, left: str, right: str) -> str:
     return f"100 * {low} >= {percent} * {high} and {short} and 100 * {overlap} >= {percent} * ({left}.n + {right}.n - {overlap})"
 
 
+def _differ(left: str, right: str) -> str:
+    """How many shingles two sets differ in, at least."""
+    return "(" + " + ".join(f"bit_count({left}.{b} ^ {right}.{b})" for b in _BITS) + ")"
+
+
+def _near(percent: int, left: str, right: str) -> str:
+    """``_possible``, and the parity bits do not rule it out."""
+    return f"{_possible(percent, left, right)} and {_differ(left, right)} * {100 + percent} <= {100 - percent} * ({left}.n + {right}.n)"
+
+
 def _links(lists: DataFrame, sets: DataFrame, percent: int, star_rounds: int) -> DataFrame:
     """``node`` and ``component`` of the nodes that link with others."""
     tried = lists.sparkSession.createDataFrame([], "a long, b long")
-    size, group, step = lists.count(), None, 0
+    size, group, step, last, nodes = lists.count(), None, 0, star_rounds == 0, 0
     while True:
         entries = lists.withColumn("component", F.col("node"))
         if group is not None:
             entries = lists.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        last = step == star_rounds
-        found = _across(entries, sets, percent) if last else _stars(by_rows(entries, size), percent, step, size)
+        if step or last:
+            some = stored(by_rows(_open(entries, sets), size), "open-lists")
+            held, left, nodes = _left(some, size)
+            last = last or left <= FEW * size
+        if last:
+            found = _across(some, percent)
+        else:
+            found = _nearest(some, percent, step, held) if step else _stars(by_rows(entries, size), percent, size)
         # Once either way round: each order of the nodes has other hubs.
         found = found.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).dropDuplicates(["lo", "hi"])
         known = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         pairs = stored(by_rows(found.join(known, ["lo", "hi"], "left_anti").select("a", "b"), size), "pairs")
         new = stored(_verified(pairs, sets, percent), "verified")
         tried = tried.unionByName(pairs)
-        fresh = new.count() > 0
+        fresh = new.count()
         if fresh or group is None:
             base = new if group is None else new.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b")))
             group = stored(components(base), "grouped")
         if last:
             return group
-        # Stars go on as long as they find links.
-        step = step + 1 if fresh or step == 0 else star_rounds
-
-
-def _stars(entries: DataFrame, percent: int, step: int, size: int) -> DataFrame:
-    """Pairs of each list's first node with the first node of every other component
-    in it; nodes come in another order in each step. At first each node keeps the
-    partner that most lists name."""
-    first = F.struct(F.xxhash64(F.lit(step), "node").alias("by"), "node", "n", "at")
-    if step:
-        entries = by_rows(entries.groupBy("token", "component").agg(F.min(first).alias("e")), size)
-    else:  # each node is a component
-        entries = entries.select("token", first.alias("e"))
+        # Stars go on as long as they find links, and later on many links.
+        step += 1
+        last = step > 1 and not fresh or step >= star_rounds and fresh * MANY <= nodes
+
+
+def _stars(entries: DataFrame, percent: int, size: int) -> DataFrame:
+    """Pairs of each list's first node with its others, each of which is a
+    component: a node keeps the partner that most lists name."""
+    entries = entries.select("token", F.struct(F.xxhash64(F.lit(0), "node").alias("by"), "node", "n", "at").alias("e"))
     hubs = entries.groupBy("token").agg(F.min("e").alias("h"))
     found = entries.join(hubs.hint("merge"), "token").where("e.node != h.node").where(_possible(percent, "e", "h"))
     found = by_rows(found.select(F.col("h.node").alias("a"), F.col("e.node").alias("b")), size)
-    if step:
-        return found
     counted = by_rows(found.groupBy("a", "b").agg(F.count("*").alias("c")), size)
     best = counted.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("m"))
     return by_rows(best.select((-F.col("m.a")).alias("a"), "b"), size)
 
 
-def _across(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """The entries, with their parity bits, of lists with several components."""
+    mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    return entries.join(mixed, "token", "left_semi").join(sets.select("node", *_BITS).hint("merge"), "node")
+
+
+def _left(some: DataFrame, size: int) -> tuple[int, float, int]:
+    """Entries, pairs in a list that lie in different components, and nodes."""
+    parts = by_rows(some.groupBy("token", "component").agg(F.count("*").cast("double").alias("c")), size)
+    whole = parts.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("own"))
+    held, left = by_rows(whole, size).agg(F.sum("c"), F.sum(F.expr("(c * c - own) / 2"))).first()
+    return int(held or 0), left or 0.0, by_rows(some.select("node").distinct(), size).count()
+
+
+def _nearest(some: DataFrame, percent: int, step: int, held: int) -> DataFrame:
+    """Of the first nodes by each of ``HUBS`` parts of a list, in another order in
+    each step, the one in another component that is nearest to a node."""
+    part = F.pmod(F.xxhash64(F.lit(-step), "node"), F.lit(HUBS)).alias("part")
+    first = F.struct(F.xxhash64(F.lit(step), "node").alias("by"), "node", "n", "at", "component", *_BITS)
+    hubs = by_rows(some.groupBy("token", part).agg(F.min(first).alias("h")).select("token", "h.*"), held)
+    pairs = some.alias("e").join(hubs.alias("h").hint("merge"), F.expr(f"e.token = h.token and e.component != h.component and {_near(percent, 'e', 'h')}"))
+    nearest = F.struct(F.expr(_differ("e", "h")).alias("d"), F.col("h.node").alias("a"))
+    pairs = by_rows(pairs.select(F.col("e.node").alias("b"), nearest.alias("m")), HUBS * held)
+    return by_rows(pairs.groupBy("b").agg(F.min("m").alias("m")).select("m.a", "b"), held)
+
+
+def _across(some: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list's nodes that lie in different components and may be
     similar: of those whose parity bits differ too often, none is."""
-    mixed = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    some = entries.join(mixed, "token", "left_semi").join(sets.select("node", *_BITS).hint("merge"), "node")
-    some = stored(some, "open-lists")
     x, y = some.alias("x"), some.alias("y")
     apart = "x.token = y.token and x.node < y.node and x.component != y.component and "
-    differ = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in _BITS)
-    near = f" and ({differ}) * {100 + percent} <= {100 - percent} * (x.n + y.n)"
-    return x.join(y, F.expr(apart + _possible(percent, "x", "y") + near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return x.join(y, F.expr(apart + _near(percent, "x", "y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def similar_documents(
